@@ -6,7 +6,6 @@ import sys
 import time
 
 import duckdb
-import pandas as pd
 from pyspark.sql import SparkSession
 
 from checks.oracle import ORACLE
@@ -23,14 +22,6 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _rows(pdf: pd.DataFrame) -> list[tuple]:
-    pdf = pdf[sorted(pdf.columns)]
-    out = []
-    for row in pdf.itertuples(index=False, name=None):
-        out.append(tuple("∅" if v is None or v is pd.NA or v != v else (repr(float(v)) if isinstance(v, float) else str(v)) for v in row))
-    return sorted(out)
-
-
 def arrow_rows(table) -> tuple[dict, list[tuple]]:
     names = sorted(table.column_names)
     types = {n: str(table.schema.field(n).type) for n in names}
@@ -40,10 +31,12 @@ def arrow_rows(table) -> tuple[dict, list[tuple]]:
 
 
 def compare(spark: SparkSession, con, name: str, sf_dir: str) -> tuple[bool, str]:
+    started = time.time()
     got_types, got = arrow_rows(QUERIES[name](spark, sf_dir).toArrow())
+    print(f"     {name:26s} spark {time.time() - started:6.2f}s", flush=True)
     if name not in ORACLE:
         return True, f"rows only: {len(got)}"
-    want_types, want = arrow_rows(con.execute(ORACLE[name]).fetch_arrow_table())
+    want_types, want = arrow_rows(con.execute(ORACLE[name]).to_arrow_table())
     if sorted(got_types) != sorted(want_types):
         return False, f"columns {sorted(got_types)} vs {sorted(want_types)}"
     note = "" if got_types == want_types else " types: " + str({n: (got_types[n], want_types[n]) for n in got_types if got_types[n] != want_types[n] and {got_types[n], want_types[n]} != {"string", "large_string"}})

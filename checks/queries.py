@@ -409,10 +409,9 @@ def join_replies(spark, d):
 # ---- validation ------------------------------------------------------------------------------
 
 def _odd(spark, d):
-    return view(spark, d, "odd_replies").select(
-        F.col("listing_id").alias("id"), F.lit("no price here").alias("raw_description"),
-        js.extract_json_object(F.col("raw_output")).alias("parsed"), F.lit(0).alias("retry_count"),
-        F.col("raw_output").alias("llm_raw_output"))
+    tried = view(spark, d, "odd_replies").select(
+        F.col("listing_id").alias("id"), F.lit(1).alias("attempt"), "raw_output")
+    return rs.resolve_attempts(tried, 3).withColumn("raw_description", F.lit("no price here"))
 
 
 def _typed(spark, d, **options):

@@ -43,7 +43,7 @@ CROSS JOIN (SELECT 1 AS attempt UNION ALL SELECT 2 UNION ALL SELECT 3) a
 ODD_REPLIES = """
 SELECT listing_id,
  CASE listing_id % 9 WHEN 0 THEN j WHEN 1 THEN concat('```', chr(10), j, chr(10), '``` trailing') WHEN 2 THEN concat(j, ' {') WHEN 3 THEN concat('```JSON ', j, '```')
-   WHEN 4 THEN concat('```json [1] ``` then ', j) WHEN 5 THEN concat('``` oops ``` ', j, chr(10)) WHEN 6 THEN concat(chr(160), j, chr(9)) WHEN 7 THEN concat(j, j) ELSE concat('x ', j) END AS raw_output
+   WHEN 4 THEN concat('```json [1] ``` then ', j) WHEN 5 THEN concat('``` oops ``` ', j, chr(10)) WHEN 6 THEN concat(' ', j, chr(9)) WHEN 7 THEN concat(j, j) ELSE concat('x ', j) END AS raw_output
 FROM (SELECT *, concat('{"product_name":', CASE listing_id % 7 WHEN 0 THEN '12' WHEN 1 THEN 'true' WHEN 2 THEN '0' WHEN 3 THEN '"x"' WHEN 4 THEN '"  Wide Lamp "' WHEN 5 THEN 'null' ELSE '1.5' END,
    CASE WHEN listing_id % 11 = 0 THEN '' ELSE concat(',"brand":', CASE listing_id % 5 WHEN 0 THEN '""' WHEN 1 THEN '"  "' WHEN 2 THEN '[]' WHEN 3 THEN '"Kent"' ELSE '"oneplus"' END) END,
    ',"category":', CASE listing_id % 3 WHEN 0 THEN '""' WHEN 1 THEN 'false' ELSE '"sofa bed"' END,
@@ -58,7 +58,7 @@ FROM (SELECT *, concat('{"product_name":', CASE listing_id % 7 WHEN 0 THEN '12'
 # Price spellings: labels, symbols, grouping, discounts by label and by value, nothing at all.
 PRICE_TEXTS = """
 SELECT p_partkey AS listing_id, concat(p_name, ' ',
- CASE p_partkey % 14 WHEN 0 THEN concat('Rs.', p, '/-') WHEN 1 THEN concat('Rs ', p) WHEN 2 THEN concat('INR', chr(160), p) WHEN 3 THEN concat('Rupees ', p)
+ CASE p_partkey % 14 WHEN 0 THEN concat('Rs.', p, '/-') WHEN 1 THEN concat('Rs ', p) WHEN 2 THEN concat('INR', ' ', p) WHEN 3 THEN concat('Rupees ', p)
   WHEN 4 THEN concat('MRP: ₹', p + 500, ' | Sale: ₹', p) WHEN 5 THEN concat('Special Price: ', p) WHEN 6 THEN concat('Now ', p, ' (Was ', p + 100, ')')
   WHEN 7 THEN concat(p, ' only') WHEN 8 THEN concat('Price: INR ', p) WHEN 9 THEN concat('₹1,', p, ' flat Rs.', p, ' off') WHEN 10 THEN concat('@Rs.1,', p)
   WHEN 11 THEN concat('Offers ', p, ' in hours 24') WHEN 12 THEN concat('save ₹ ', p, ' cashback MRP ', p, ' INR ', p + 7) ELSE concat('~₹', p, ' off on exchange; ', p, ' discount') END) AS txt
@@ -68,10 +68,10 @@ FROM (SELECT *, CAST(floor(p_retailprice) AS BIGINT) AS p FROM part) t
 # Dirt depends on the length of the text, so equal texts stay equal.
 DIRTY = """
 SELECT doc_id, concat(
- CASE n_chars % 5 WHEN 0 THEN '  <b>' WHEN 1 THEN concat(chr(9), ' ', chr(160)) WHEN 2 THEN '• ' WHEN 3 THEN '' ELSE chr(12288) END,
+ CASE n_chars % 5 WHEN 0 THEN '  <b>' WHEN 1 THEN concat(chr(9), ' ', ' ') WHEN 2 THEN '• ' WHEN 3 THEN '' ELSE '　' END,
  text,
  CASE n_chars % 4 WHEN 0 THEN concat(chr(7), ' &amp;lt; “x” – y…', chr(9), chr(9), 'z</b> ')
-   WHEN 1 THEN concat(' cafe', chr(769), ' ‘q’ — a', chr(160), 'b', chr(127), ' > ', chr(824), ' ')
+   WHEN 1 THEN concat(' cafe', '́', ' ‘q’ — a', ' ', 'b', chr(127), ' > ', '̸', ' ')
    WHEN 2 THEN concat(chr(10), chr(10), chr(10), chr(10), '₹ 5 < 6 > 7 &lt;i&gt;◦ ▪', chr(28), chr(13)) ELSE ' plain  end' END) AS dirty
 FROM documents
 """

@@ -24,16 +24,20 @@ def strict_json(text: Column) -> Column:
     ``try_parse_json`` ignores what follows the first value. The text is therefore read as the
     first item of an array that ends in a mark computed from the text itself.
     """
-    mark = F.xxhash64(text)
-    wrapped = F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]"))
-    return _bind(
-        F.try_parse_json(wrapped),
-        lambda v: F.when(
-            (F.try_variant_get(v, "$[1]", "bigint") == mark)
-            & F.variant_get(v, "$[2]", "variant").isNull(),
-            F.variant_get(v, "$[0]", "variant"),
-        ),
-    )
+
+    def checked(t: Column) -> Column:
+        mark = F.xxhash64(t)
+        wrapped = F.concat(F.lit("["), t, F.lit(","), mark.cast("string"), F.lit("]"))
+        return _bind(
+            F.try_parse_json(wrapped),
+            lambda v: F.when(
+                (F.try_variant_get(v, "$[1]", "bigint") == mark)
+                & F.variant_get(v, "$[2]", "variant").isNull(),
+                F.variant_get(v, "$[0]", "variant"),
+            ),
+        )
+
+    return _bind(text, checked)
 
 
 def is_json(text: Column) -> Column:
@@ -47,12 +51,15 @@ def extract_json_object(text: Column) -> Column:
     an object. The text as a whole needs no third look: if it is an object, its braces span it.
     """
     fence = F.when(F.contains(text, F.lit("```")), py_strip(F.regexp_extract(text, _FENCE, 1)))
-    fence = F.when(F.char_length(fence) > 0, fence)
-    opens = F.coalesce(F.startswith(fence, F.lit("{")), F.lit(True))
-    braces = F.when(
-        F.contains(text, F.lit("{")) & (opens | ~is_json(fence)), F.regexp_extract(text, _BRACES, 0)
+    braces = F.when(F.contains(text, F.lit("{")), F.regexp_extract(text, _BRACES, 0))
+    other_value = lambda f: ~F.startswith(f, F.lit("{")) & is_json(f)
+    return _bind(
+        fence,
+        lambda f: F.coalesce(
+            F.when(F.startswith(f, F.lit("{")), strict_json(f)),
+            F.when(~F.coalesce(other_value(f), F.lit(False)), strict_json(braces)),
+        ),
     )
-    return F.coalesce(F.when(opens & fence.isNotNull(), strict_json(fence)), strict_json(braces))
 
 
 def field(parsed: Column, name: str) -> Column:

@@ -172,4 +172,5 @@ def fixed2(c: Column) -> Column:
     cents = F.floor(c * 100.0)
     rest = (head * 100.0 - (cents + F.lit(0.5))) + tail * 100.0
     up = (rest > 0) | ((rest == 0) & (F.pmod(cents, F.lit(2)) == 1))
-    return F.format_string("%.2f", (cents + up.cast("int")).cast("decimal(20,0)") / F.lit(100))
+    rounded = (cents + up.cast("int")).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")
+    return rounded.cast("string")

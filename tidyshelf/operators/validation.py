@@ -184,7 +184,7 @@ def validate(df: DataFrame, threshold: float = 0.5, strict_compat: bool = False)
 
 
 def split(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clean, errors) of a tagged table. Persist it first: both sides read it."""
+    """(clean, errors) of a tagged table. Write or persist it first: both sides read it."""
     clean = tagged.filter(F.col("error_type").isNull())
     errors = tagged.filter(F.col("error_type").isNotNull())
     return conform(clean, CLEAN_SCHEMA), conform(errors, ERROR_SCHEMA)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidyshelf.config import PipelineConfig
 from tidyshelf.functions.text import clean_column, has_text
@@ -36,8 +37,6 @@ from tidyshelf.sources.readers import ORDER, read_listings, require_rows
 from tidyshelf.sources.writers import export_results
 from tidyshelf.storage import Workspace, prepare_session
 
-from pyspark.sql import functions as F
-
 
 class Normalized(NamedTuple):
     clean: DataFrame
@@ -64,10 +63,12 @@ def first_ids(df: DataFrame, limit: int | None) -> DataFrame:
 
 
 def _finish(
-    raw: DataFrame, attempts: DataFrame, threshold: float, retry_limit: int, strict_compat: bool
+    raw: DataFrame, attempts: DataFrame, threshold: float, retry_limit: int,
+    strict_compat: bool, work: Workspace,
 ) -> Normalized:
+    """Both outcomes and the summary read one written table, by the columns they need."""
     answered = join_replies(to_raw(raw), resolve_attempts(attempts, retry_limit))
-    tagged = validate(answered, threshold, strict_compat)
+    tagged = work.freeze(validate(answered, threshold, strict_compat), "tagged")
     clean, errors = split(tagged)
     return Normalized(postprocess(clean), errors, run_summary(tagged), tagged)
 
@@ -105,7 +106,7 @@ def normalize_table(
             raise ValueError("pass a table of attempts or an extractor")
         prompts = build_prompts(to_raw(raw), template or default_template())
         attempts = apply_extractor(prompts, extractor, workspace=work)
-    return _finish(raw, attempts, threshold, retry_limit, strict_compat)
+    return _finish(raw, attempts, threshold, retry_limit, strict_compat, work)
 
 
 def normalize_one(
@@ -117,18 +118,21 @@ def normalize_one(
     threshold: float = 0.5,
     retry_limit: int = 3,
     template: str | None = None,
+    workspace: Workspace | None = None,
 ) -> Normalized:
     """One text through the same stages, with the caller's id; a blank text is an error."""
     prepare_session(spark)
     if not text.strip():
         raise ValueError("the description must not be empty")
+    work = workspace or Workspace(spark)
     row = spark.createDataFrame([(product_id, text)], "id BIGINT, raw_description STRING")
     raw = clean_column(row, TARGET)
     if attempts is None:
         if extractor is None:
             raise ValueError("pass a table of attempts or an extractor")
-        attempts = apply_extractor(build_prompts(raw, template or default_template()), extractor)
-    return _finish(raw, attempts, threshold, retry_limit, strict_compat=False)
+        prompts = build_prompts(raw, template or default_template())
+        attempts = apply_extractor(prompts, extractor, workspace=work)
+    return _finish(raw, attempts, threshold, retry_limit, False, work)
 
 
 def run_pipeline(spark: SparkSession, cfg: PipelineConfig, extractor: Callable) -> DataFrame:
@@ -145,13 +149,10 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, extractor: Callable)
         raw = first_ids(preprocess(picked, workspace=work), cfg.limit)
         prompts = build_prompts(to_raw(raw), template)
         attempts = apply_extractor(prompts, extractor, cfg.extractor_partitions, work)
-        done = _finish(raw, attempts, cfg.confidence_threshold, cfg.retry_limit, cfg.strict_compat)
-        tagged = done.tagged.persist()
-        clean, errors = split(tagged)
+        done = _finish(raw, attempts, cfg.confidence_threshold, cfg.retry_limit, cfg.strict_compat, work)
         result = export_results(
-            postprocess(clean), errors, cfg.output_path, cfg.error_path, cfg.output_format
+            done.clean, done.errors, cfg.output_path, cfg.error_path, cfg.output_format
         )
-        tagged.unpersist()
     seconds = round(time.perf_counter() - started, 2)
     row = (result.total, result.success, result.errors, result.success_rate, seconds)
     return spark.createDataFrame(
