@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,6 +153,15 @@ def violations() -> Column:
     return F.filter(F.array(*found), lambda v: v.isNotNull())
 
 
+def _computed_once(df: DataFrame) -> DataFrame:
+    """Keep later filters and projections from being merged into the column rules.
+
+    A filter on ``error_type`` would otherwise be rewritten in terms of the reply, with a copy of
+    every rule per use. Rows are counted on the way (a metric), which the optimizer does not cross.
+    """
+    return df.observe(f"validated_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def validate(df: DataFrame, threshold: float = 0.5, strict_compat: bool = False) -> DataFrame:
     """Tag rows of ``id, raw_description, parsed, retry_count, llm_raw_output`` with their outcome.
 
@@ -176,11 +187,11 @@ def validate(df: DataFrame, threshold: float = 0.5, strict_compat: bool = False)
         )
     )
     tagged = checked.withColumn("error_type", error).withColumn("error_detail", detail)
-    return tagged.select(
+    return _computed_once(tagged.select(
         "id", "raw_description", *PRODUCT_FIELDS, "violations", "error_type", "error_detail",
         "retry_count", "llm_raw_output",
         F.when(F.col("error_type").isNull(), F.lit("success")).alias("processing_status"),
-    )
+    ))
 
 
 def split(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
