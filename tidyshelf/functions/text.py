@@ -13,18 +13,9 @@ TAG = r"<[^>]+>"
 _GLYPHS = r"[\x{B7}\x{2013}-\x{25B8}]"
 _GLYPHS_FROM = lx.BULLETS + "".join(lx.PUNCTUATION)
 _GLYPHS_TO = "\n" * len(lx.BULLETS) + "".join(lx.PUNCTUATION.values())
-# Text made only of these characters is already in composed normal form: no combining marks, no
-# conjoining letters and no characters with a canonical replacement are among them.
-COMPOSED_RANGES: list[tuple[int, int]] = [
-    (0x0000, 0x02FF),  # Latin
-    (0x0400, 0x0482), (0x048A, 0x052F),  # Cyrillic
-    (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20CF),  # punctuation, currency signs
-    (0x2190, 0x2328), (0x232B, 0x2ADB), (0x25A0, 0x27BF),  # arrows, shapes, symbols
-    (0x3041, 0x3096), (0x309B, 0x30FF),  # kana
-    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),  # ideographs, Hangul
-    (0x1F300, 0x1FAFF),  # pictographs
-]
-_NOT_COMPOSED = "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in COMPOSED_RANGES) + "]"
+# Every character below U+0300 is in composed form and joins with none before it. Above, Python's
+# composer decides: it is faster than a regular expression over all safe ranges.
+_BEYOND_LATIN = r"[^\x{00}-\x{2FF}]"
 # An ampersand that could start an entity.
 _ENTITY = r"&[^\t\n\f <&;]"
 
@@ -72,8 +63,7 @@ def _has_entity(c: Column) -> Column:
 
 
 def _may_compose(c: Column) -> Column:
-    # cheap tests first: ASCII and Latin text never reach the long character class
-    return _not_ascii(c) & c.rlike(r"[^\x{00}-\x{2FF}]") & c.rlike(_NOT_COMPOSED)
+    return _not_ascii(c) & c.rlike(_BEYOND_LATIN)
 
 
 def remove_html(c: Column) -> Column:
@@ -107,7 +97,8 @@ def normalize_whitespace(c: Column) -> Column:
     A no-break space inside the text stays; at the ends it goes.
     """
     spaced = F.regexp_replace(c, r"[ \t]+", " ")
-    return py_strip(F.regexp_replace(spaced, r"\n{3,}", "\n\n"))
+    gaps = F.regexp_replace(spaced, r"\n{3,}", "\n\n")
+    return py_strip(F.when(F.contains(c, F.lit("\n\n\n")), gaps).otherwise(spaced))
 
 
 def _repair_glyphs(c: Column) -> Column:

@@ -25,7 +25,7 @@ def default_template() -> str:
 def load_template(spark: SparkSession, path: str) -> str:
     """Read a prompt template anew on each call; a missing file raises ``FileNotFoundError``."""
     try:
-        row = spark.read.option("wholetext", True).text(path).first()
+        row = spark.read.text(path, wholetext=True).first()
     except AnalysisException as error:
         raise FileNotFoundError(f"prompt template not found: {path}") from error
     return row[0] if row else ""
