@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidyshelf.operators.quantiles import (
     approximate_quantiles,
+    counted_slices,
     exact_quantiles,
     value_counts_by,
     wide_quantiles,
@@ -83,13 +84,16 @@ def _boxed(clean, group, value, k, approximate, workspace):
     """Counts per (group, value) of the k largest groups, with the group's quartiles and fences."""
     groups = top_k(clean, group, k).select(group)  # k rows
     kept = clean.join(F.broadcast(groups), group, "left_semi")
-    counts = value_counts_by(kept, value, [group])
     names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
-    quantiles = (
-        approximate_quantiles(kept.filter(F.col(value).isNotNull()), value, list(names), [group])
-        if approximate
-        else exact_quantiles(kept, value, list(names), [group], workspace, counted=counts)
-    )
+    if approximate:
+        counts = value_counts_by(kept, value, [group])
+        quantiles = approximate_quantiles(
+            kept.filter(F.col(value).isNotNull()), value, list(names), [group]
+        )
+    else:  # the counted values are written once and serve the quartiles and the box
+        slices = counted_slices(kept, value, [group], workspace)
+        counts = slices.select(group, value, "n")
+        quantiles = exact_quantiles(kept, value, list(names), [group], slices=slices)
     boxes = wide_quantiles(quantiles, names, [group])  # k rows
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return counts.join(F.broadcast(boxes), group).withColumns(

@@ -19,23 +19,31 @@ def value_counts_by(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
     )
 
 
+def counted_slices(
+    df: DataFrame, value: str, by: Sequence[str] = (), workspace: Workspace | None = None
+) -> DataFrame:
+    """The counted distinct values as a written table of sorted slices."""
+    return sorted_slices(value_counts_by(df, value, by), [*by, value], workspace)
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
     probabilities: Sequence[float],
     by: Sequence[str] = (),
     workspace: Workspace | None = None,
-    counted: DataFrame | None = None,
+    slices: DataFrame | None = None,
 ) -> DataFrame:
     """``(by…, p, quantile)`` with linear interpolation between neighbours.
 
     Spark's ``percentile`` keeps all values of a group in one buffer. Here the distinct values are
     counted, range-partitioned with their group (a hot group spreads over slices), and only the
-    slices that hold a wanted rank are looked into. ``counted`` saves the count if it exists.
+    slices that hold a wanted rank are looked into. ``slices`` saves the count if it exists
+    (see :func:`counted_slices`).
     """
     by = list(by)
-    counts = value_counts_by(df, value, by) if counted is None else counted
-    slices = sorted_slices(counts, [*by, value], workspace)
+    if slices is None:
+        slices = counted_slices(df, value, by, workspace)
 
     # one row per slice and group
     totals = slices.groupBy(*by, "_slice").agg(F.sum("n").alias("_m"))
