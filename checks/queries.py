@@ -20,7 +20,6 @@ from tidyshelf.operators import columns as co
 from tidyshelf.operators import dedup as de
 from tidyshelf.operators import distribution as di
 from tidyshelf.operators import ordering as od
-from tidyshelf.operators import quantiles as qu
 from tidyshelf.operators import responses as rs
 from tidyshelf.operators import summary as su
 from tidyshelf.operators import validation as va
@@ -72,13 +71,13 @@ def remove_html(spark, d):
 
 @query
 def clean_description(spark, d):
-    return tx.clean_column(view(spark, d, "dirty"), "dirty").withColumnRenamed("dirty", "cleaned")
+    return tx.clean_column(od.spread_scan(view(spark, d, "dirty")), "dirty").withColumnRenamed("dirty", "cleaned")
 
 
 @query
 def clean_pages(spark, d):
     pages = table(spark, d, "pages").select("page_id", "html")
-    return tx.clean_column(pages, "html").withColumnRenamed("html", "cleaned")
+    return tx.clean_column(od.spread_scan(pages), "html").withColumnRenamed("html", "cleaned")
 
 
 @query
@@ -279,7 +278,7 @@ def top_suppliers(spark, d):
 @query
 def preprocess_job(spark, d):
     dirty = view(spark, d, "dirty").withColumnRenamed("dirty", "raw_description")
-    return jobs.preprocess(dirty, "doc_id").select("id", "doc_id", "raw_description")
+    return jobs.preprocess(dirty, "doc_id", spread=True).select("id", "doc_id", "raw_description")
 
 
 @query
@@ -359,7 +358,7 @@ def _attempts(spark, d):
 
 
 def _resolved(spark, d):
-    return rs.resolve_attempts(_attempts(spark, d), 3)
+    return rs.resolve_attempts(od.spread_scan(_attempts(spark, d)), 3)
 
 
 @query
@@ -397,7 +396,7 @@ def apply_extractor(spark, d):
 def _answered(spark, d):
     """Every listing with its reply; listings divisible by 17 never got one."""
     raw = view(spark, d, "listings").select(F.col("listing_id").alias("id"), "raw_description")
-    tried = _attempts(spark, d).filter(F.col("id") % 17 != 0)
+    tried = od.spread_scan(_attempts(spark, d).filter(F.col("id") % 17 != 0))
     return rs.join_replies(raw, rs.resolve_attempts(tried, 3))
 
 
@@ -559,7 +558,7 @@ def postprocess_job(spark, d):
 def _normalized(spark, d):
     listings = view(spark, d, "listings").select("listing_id", "raw_description")
     return jobs.normalize_table(
-        listings, attempts=_attempts(spark, d), columns=["raw_description"], limit=None, order="listing_id")
+        listings, attempts=_attempts(spark, d), columns=["raw_description"], limit=None, order="listing_id", spread=True)
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyshelf.config import PipelineConfig
-from tidyshelf.functions.text import clean_column, has_text
+from tidyshelf.functions.text import clean_column
 from tidyshelf.operators.canonical import postprocess
 from tidyshelf.operators.columns import (
     TARGET,
@@ -22,7 +22,7 @@ from tidyshelf.operators.columns import (
     to_raw,
 )
 from tidyshelf.operators.dedup import dedup_exact
-from tidyshelf.operators.ordering import assign_ids
+from tidyshelf.operators.ordering import assign_ids, spread_scan
 from tidyshelf.operators.responses import (
     apply_extractor,
     build_prompts,
@@ -46,14 +46,17 @@ class Normalized(NamedTuple):
 
 
 def preprocess(
-    df: DataFrame, order: str | Sequence[str] = ORDER, workspace: Workspace | None = None
+    df: DataFrame, order: str | Sequence[str] = ORDER, workspace: Workspace | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Drop empty texts, clean, keep the first of equal texts, number 1..n in input order.
 
     Two shuffles: by text and by order. The result is a written table, so what follows (such as a
-    costly extractor) does not repeat the cleaning.
+    costly extractor) does not repeat the cleaning. ``spread`` is for scans of a few unsplit files
+    (see :func:`tidyshelf.operators.ordering.spread_scan`).
     """
-    cleaned = clean_column(drop_empty(df), TARGET)
+    rows = spread_scan(df) if spread else df
+    cleaned = clean_column(drop_empty(rows), TARGET)
     return assign_ids(dedup_exact(cleaned, TARGET, order), order, workspace)
 
 
@@ -85,6 +88,7 @@ def normalize_table(
     template: str | None = None,
     strict_compat: bool = False,
     workspace: Workspace | None = None,
+    spread: bool = False,
 ) -> Normalized:
     """Merge columns, preprocess, resolve the replies, validate, canonicalise, summarise.
 
@@ -100,7 +104,7 @@ def normalize_table(
     elif isinstance(columns, str):
         columns = resolve_columns(df, columns)
     merged = build_description(df, list(columns)).select(*order_names, TARGET)
-    raw = first_ids(preprocess(merged, order, work), limit)
+    raw = first_ids(preprocess(merged, order, work, spread), limit)
     if attempts is None:
         if extractor is None:
             raise ValueError("pass a table of attempts or an extractor")
@@ -146,7 +150,7 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, extractor: Callable)
     source = require_rows(read_listings(spark, cfg.input_path, cfg.fmt))
     with Workspace(spark) as work:
         picked = pick_description_column(source).select(TARGET, ORDER)
-        raw = first_ids(preprocess(picked, workspace=work), cfg.limit)
+        raw = first_ids(preprocess(picked, workspace=work, spread=True), cfg.limit)
         prompts = build_prompts(to_raw(raw), template)
         attempts = apply_extractor(prompts, extractor, cfg.extractor_partitions, work)
         done = _finish(raw, attempts, cfg.confidence_threshold, cfg.retry_limit, cfg.strict_compat, work)
