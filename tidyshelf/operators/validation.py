@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyshelf import lexicon as lx
-from tidyshelf.functions.json_text import field, field_text, json_kind
 from tidyshelf.functions.price import extract_price
 from tidyshelf.functions.text import fixed2, py_lower_key, py_strip
 from tidyshelf.operators.columns import conform
@@ -94,10 +93,19 @@ def strip_text(kind: Column, text: Column) -> Column:
 
 
 def _with_kinds(df: DataFrame) -> DataFrame:
-    parsed = F.col("parsed")
-    kinds = {f"_k_{n}": json_kind(field(parsed, n)) for n in PRODUCT_FIELDS}
-    texts = {f"_t_{n}": field_text(parsed, n) for n in PRODUCT_FIELDS}
-    return df.withColumns(kinds | texts)
+    """``_k_<field>`` and ``_t_<field>``: JSON kind and text, as ``json_kind`` and ``field_text``.
+
+    Written as SQL text: one call per column keeps the driver's plan building short.
+    """
+    extra = {}
+    for n in PRODUCT_FIELDS:
+        value = f"variant_get(parsed, '$.{n}', 'variant')"
+        extra[f"_k_{n}"] = F.expr(
+            f"CASE WHEN {value} IS NULL THEN 'ABSENT' WHEN is_variant_null({value}) THEN 'NULL' "
+            f"ELSE regexp_extract(schema_of_variant({value}), '^[A-Z]+', 0) END"
+        )
+        extra[f"_t_{n}"] = F.expr(f"try_variant_get(parsed, '$.{n}', 'string')")
+    return df.withColumns(extra)
 
 
 def typed_fields(df: DataFrame, strict_compat: bool = False) -> DataFrame:
@@ -123,34 +131,31 @@ def typed_fields(df: DataFrame, strict_compat: bool = False) -> DataFrame:
 def violations() -> Column:
     """Every broken rule of a row, in field order, as ``array<struct<field,type,msg>>``."""
 
-    def entry(name: str, code: str, msg: str | None = None) -> Column:
-        return F.struct(
-            F.lit(name).alias("field"), F.lit(code).alias("type"),
-            F.lit(msg or _MESSAGES[code]).alias("msg"),
-        )
+    def entry(name: str, code: str, msg: str | None = None) -> str:
+        return f"named_struct('field', '{name}', 'type', '{code}', 'msg', '{msg or _MESSAGES[code]}')"
 
     found = []
     for name in PRODUCT_FIELDS:
-        kind, value = F.col(f"_k_{name}"), F.col(name)
+        kind = f"_k_{name}"
         if name in _TEXT_FIELDS:
-            rule = F.when(kind == "ABSENT", entry(name, "missing")).when(
-                value.isNull(), entry(name, "string_type"))
+            rule = f"WHEN {kind} = 'ABSENT' THEN {entry(name, 'missing')}"
+            rule += f" WHEN {name} IS NULL THEN {entry(name, 'string_type')}"
             if name in _MIN_LENGTH:
                 least = _MIN_LENGTH[name]
                 msg = f"String should have at least {least} character{'s' if least > 1 else ''}"
-                rule = rule.when(F.char_length(value) < least, entry(name, "string_too_short", msg))
+                rule += f" WHEN char_length({name}) < {least} THEN {entry(name, 'string_too_short', msg)}"
         elif name == "price":
-            rule = F.when(value < 0, entry(name, "greater_than_equal"))
+            rule = f"WHEN price < 0 THEN {entry(name, 'greater_than_equal')}"
         elif name == "availability":
-            rule = F.when(~kind.isin("ABSENT", "STRING"), entry(name, "string_type"))
+            rule = f"WHEN {kind} NOT IN ('ABSENT', 'STRING') THEN {entry(name, 'string_type')}"
         elif name in _OPTIONAL_TEXT:
-            rule = F.when(~kind.isin("ABSENT", "NULL", "STRING"), entry(name, "string_type"))
+            rule = f"WHEN {kind} NOT IN ('ABSENT', 'NULL', 'STRING') THEN {entry(name, 'string_type')}"
         elif name == "confidence":
-            rule = F.when(kind == "ABSENT", entry(name, "missing"))
+            rule = f"WHEN {kind} = 'ABSENT' THEN {entry(name, 'missing')}"
         else:
             continue
-        found.append(rule)
-    return F.filter(F.array(*found), lambda v: v.isNotNull())
+        found.append(f"CASE {rule} END")
+    return F.expr(f"filter(array({', '.join(found)}), v -> v IS NOT NULL)")
 
 
 def _computed_once(df: DataFrame) -> DataFrame:
