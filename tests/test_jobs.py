@@ -133,3 +133,17 @@ def test_missing_reply_is_a_parse_error(spark):
     tagged = va.validate(_answered(spark, SF))
     lost = tagged.filter(F.col("id") % 17 == 0)
     assert lost.filter(F.col("error_type") != "json_parse_error").isEmpty() and lost.first()["retry_count"] == 0
+
+
+def test_spread_only_where_a_scan_has_few_partitions(spark, tmp_path):
+    from tidyshelf.operators.ordering import spread_scan
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    few = spark.read.parquet(str(tmp_path / "one"))
+    assert "RoundRobin" in plan(spread_scan(few)) and spread_scan(few).count() == 100
+    spark.range(100).repartition(40).write.option("parquet.block.size", 1).parquet(str(tmp_path / "many"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        assert "RoundRobin" not in plan(spread_scan(spark.read.parquet(str(tmp_path / "many"))))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
