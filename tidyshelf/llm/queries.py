@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidyshelf.llm.common import table
 from tidyshelf.llm.decontaminate import find_hits, hit_columns
+from tidyshelf.llm.ngram_join import jaccard_components
 from tidyshelf.llm.packing import pack_documents
 from tidyshelf.llm.quality_rules import judge_documents
 from tidyshelf.llm.token_counts import count_tokens
@@ -54,7 +55,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity,
+    "op10_ngram_join": op10_ngram_join,
 }
