@@ -41,7 +41,7 @@ class PieceCache:
         out = [first.get(p) for p in pieces] if first else [None] * len(pieces)
         rest = [i for i, v in enumerate(out) if v is None]
         if rest:
-            missing = list({pieces[i] for i in rest} - kept.keys())
+            missing = list({p for p in (pieces[i] for i in rest) if p not in kept})
             if missing:
                 if len(kept) + len(missing) > self.room:
                     kept.clear()
