@@ -10,6 +10,7 @@ from tidyshelf.llm.decontaminate import find_hits, hit_columns
 from tidyshelf.llm.ngram_join import jaccard_components
 from tidyshelf.llm.packing import pack_documents
 from tidyshelf.llm.quality_rules import judge_documents
+from tidyshelf.llm.suffix_dedup import measure_repeats
 from tidyshelf.llm.token_counts import count_tokens
 from tidyshelf.llm.toxicity import score_toxicity
 from tidyshelf.llm.warc import read_warc, write_warc
@@ -22,6 +23,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -60,6 +65,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
