@@ -11,6 +11,7 @@ from tests.llm.conftest import ODD_TEXTS
 from tidyshelf.llm.common import table
 from tidyshelf.llm.packing import best_fit, pack_documents
 from tidyshelf.llm.token_counts import count_tokens, cut
+from tidyshelf.llm.tokens import PieceCache
 from tests.conftest import SF
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +46,12 @@ def test_pieces_are_independent(text):
         assert sum((whole.encode(p, add_special_tokens=False).ids for p in split), []) == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_cache_starts_anew():
+    cache = PieceCache(lambda pieces: [p.upper() for p in pieces], {"a": "A"}, room=3)
+    for text in ("a b c", "b d a", "b e f g h", "c b a h"):
+        assert cache.get(text.split()) == text.upper().split()
+
+
 def test_best_fit_takes_the_tightest_window():
     numbers, offsets = best_fit([6, 5, 4, 3, 2], 10)
     assert numbers == [0, 1, 0, 1, 1] and offsets == [0, 0, 6, 5, 8]

@@ -45,6 +45,7 @@ class PieceCache:
             if missing:
                 if len(kept) + len(missing) > self.room:
                     kept.clear()
+                    missing = list({pieces[i] for i in rest})
                 for at in range(0, len(missing), 4096):
                     block = missing[at : at + 4096]
                     kept.update(zip(block, self.encode(block), strict=True))
