@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidyshelf.llm.common import table
 from tidyshelf.llm.decontaminate import find_hits, hit_columns
+from tidyshelf.llm.language_model import score_held_out
 from tidyshelf.llm.ngram_join import jaccard_components
 from tidyshelf.llm.packing import pack_documents
 from tidyshelf.llm.quality_rules import judge_documents
@@ -27,6 +28,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -66,7 +71,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
-    "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op6_warc": op6_warc,
+    "op2_language_model": op2_language_model, "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
 }
