@@ -166,7 +166,7 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, block_words: int
     return blocks
 
 
-def _hits(shared, keep_text: bool, row: bool):
+def _hits(shared):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: Automaton = shared.value
         for batch in batches:
@@ -178,19 +178,17 @@ def _hits(shared, keep_text: bool, row: bool):
                     out["n_words"].append(len(words))
                     out["spans"].append([x for s in covered(spans) for x in s])
                     out["items"].append([automaton.names[i] for i in items])
-            keep = [batch.column(0), *([batch.column(1)] if keep_text else []), *([batch.column("row")] if row else [])]
-            names = ["id", *(["text"] if keep_text else []), *(["row"] if row else [])]
             yield pa.RecordBatch.from_arrays([
-                *keep, pa.array(out["n_words"], pa.int64()), pa.array(out["spans"], pa.list_(pa.int64())),
-                pa.array(out["items"], pa.list_(pa.string()))], [*names, "n_words", "spans", "items"])
+                batch.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["spans"], pa.list_(pa.int64())),
+                pa.array(out["items"], pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
 
     return task
 
 
 def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
               item_text_col: str = "text", block_words: int = BLOCK_WORDS, window: int = WINDOW,
-              keep_text: bool = False, workspace: Workspace | None = None) -> DataFrame:
-    """Per row: id, (text,) n_words, spans (flat list of word positions from, to), items (ids as strings).
+              workspace: Workspace | None = None) -> DataFrame:
+    """Per row: id, n_words, spans (flat list of word positions from, to), items (ids as strings).
 
     Null and empty texts have no words; repeated rows and null ids come back as they are; empty tables
     give no rows or no hits; other columns are not read.
@@ -199,38 +197,22 @@ def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
     source = id_and_text(df, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
-    text = "text string, " if keep_text else ""
     hit = "n_words long, spans array<long>, items array<string>"
     if len(blocks) == 1:
         shared = spark.sparkContext.broadcast(Automaton(blocks[0], window))
-        return source.mapInArrow(_hits(shared, keep_text, False), f"id {kind}, {text}{hit}")
+        return source.mapInArrow(_hits(shared), f"id {kind}, {hit}")
     store = workspace or Workspace(spark)
     rows = store.freeze(source.withColumn("row", F.monotonically_increasing_id()), "rows")
-    parts = []
-    for block in blocks:
+    united = None
+    for block in blocks:  # a stated set of items, block by block, against all rows
         shared = spark.sparkContext.broadcast(Automaton(block, window))
-        found = rows.mapInArrow(_hits(shared, False, True), f"id {kind}, row long, {hit}")
-        parts.append(store.freeze(found.filter(F.size("spans") > 0).select("row", "spans", "items"), "block"))
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
-    by_row = united.groupBy("row").agg(F.collect_list("spans").alias("s"), F.collect_list("items").alias("i"))
-    count = rows.mapInArrow(_count_words(keep_text), f"id {kind}, {text}row long, n_words long")
-    merged = count.join(by_row, "row", "left").drop("row")
-    none = lambda kind: F.array().cast(f"array<array<{kind}>>")
-    return merged.select(
-        "id", *(["text"] if keep_text else []), "n_words", _union(F.coalesce("s", none("long"))).alias("spans"),
-        F.array_distinct(F.flatten(F.coalesce("i", none("string")))).alias("items"))
-
-
-def _count_words(keep_text: bool):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [len(words_of(t)) for t in batch.column("text").to_pylist()]
-            keep = ["id", *(["text"] if keep_text else []), "row"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n, pa.int64())], [*keep, "n_words"])
-
-    return task
+        found = rows.select("row", "text").mapInArrow(_hits(shared), f"id long, {hit}")
+        # the first block also tells how many words each row has
+        part = store.freeze(found if united is None else found.filter(F.size("spans") > 0), "block")
+        united = part if united is None else united.unionByName(part)
+    by_row = united.groupBy(F.col("id").alias("row")).agg(
+        F.max("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    return rows.select("id", "row").join(by_row, "row").select("id", "n_words", _union(F.col("s")).alias("spans"), F.array_distinct("i").alias("items"))
 
 
 def _unite(spans):
@@ -270,3 +252,41 @@ def remove_spans(text: str, spans: list[int]) -> str:
         last = ends[b - 1]
     out.append(raw[last:])
     return b"".join(out).decode()
+
+
+def _cut(text: str | None, n_words: int, spans: list[int], one_in: int) -> str | None:
+    hit = sum(spans[1::2]) - sum(spans[::2])
+    return remove_spans(text, spans) if hit and one_in * hit >= n_words else text
+
+
+def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                    block_words: int = BLOCK_WORDS, window: int = WINDOW, one_in: int = ONE_IN, workspace: Workspace | None = None) -> DataFrame:
+    """All rows and columns of ``df``; contaminated texts lose their hit spans, others stay as they are.
+
+    Texts without words and nulls stay; so do all rows of an empty benchmark.
+    """
+    names = list(df.columns)
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
+    automaton = Automaton(blocks[0], window) if len(blocks) == 1 else None
+    shared = df.sparkSession.sparkContext.broadcast(automaton)
+    rows = df.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = shared.value
+        for batch in batches:
+            texts, at = batch.column(text_col).to_pylist(), batch.schema.get_field_index(text_col)
+            if reader is None:
+                found = zip(batch.column("__n").to_pylist(), batch.column("__spans").to_pylist(), strict=True)
+            else:
+                words = map(words_of, texts)
+                found = ((len(w), [x for s in covered(reader.read(w)[0]) for x in s]) for w in words)
+            out = [_cut(t, n, spans, one_in) for t, (n, spans) in zip(texts, found, strict=True)]
+            yield batch.set_column(at, text_col, pa.array(out, pa.string())).select(names)
+
+    if automaton is None:
+        store = workspace or Workspace(df.sparkSession)
+        rows = store.freeze(rows.withColumn("__row", F.monotonically_increasing_id()), "documents")
+        found = find_hits(rows, benchmark, "__row", text_col, item_col, item_text_col, block_words, window, workspace=store)
+        rows = rows.join(found.select(F.col("id").alias("__row"), F.col("n_words").alias("__n"), F.col("spans").alias("__spans")), "__row")
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in df.schema)
+    return rows.mapInArrow(task, kinds)
