@@ -104,7 +104,7 @@ add("build_description", f"""SELECT c_custkey, concat_ws(chr(10), 'Market Segmen
  'Home Nation: ' || c_nationkey) AS raw_description FROM customer""")
 add("build_description_plain", f"SELECT c_custkey, concat_ws(chr(10), c_name, {_seg}) AS raw_description FROM customer")
 add("resolve_columns", "SELECT c_name, c_custkey FROM customer")
-add("drop_empty", "SELECT conv_id, turn, text AS raw_description FROM conversations WHERE turn % 3 = 1 AND trim(text) <> ''")
+add("drop_empty", "SELECT conv_id, turn, text AS raw_description FROM conversations WHERE trim(text) <> ''")
 _null = "CAST(NULL AS VARCHAR)"
 add("conform_clean", f"""{L} SELECT listing_id AS id, {_null} AS product_name, brand_txt AS brand, {_null} AS category, price_int AS price,
  {_null} AS currency, {_null} AS offer, {_null} AS availability, {_null} AS delivery, {_null} AS seller, CAST(NULL AS DOUBLE) AS confidence,
@@ -113,7 +113,7 @@ add("conform_errors", f"""{A} SELECT listing_id AS id, {_null} AS raw_descriptio
  attempt AS retry_count, raw_output AS llm_raw_output FROM attempts""")
 add("to_raw", "SELECT doc_id AS id, text AS raw_description FROM documents")
 add("filter_confidence", "SELECT l_orderkey, l_linenumber, l_partkey, l_discount AS confidence FROM lineitem WHERE NOT l_discount < 0.05")
-add("numeric_price", f"{L} SELECT listing_id, CAST(price_int AS VARCHAR) AS price FROM listings WHERE listing_id % 3 = 1")
+add("numeric_price", f"{L} SELECT listing_id, CAST(price_int AS VARCHAR) AS price FROM listings")
 
 # ---- order, duplicates, top-k ----------------------------------------------------------------
 add("assign_ids", "SELECT row_number() OVER (ORDER BY lang, source, doc_id) AS id, doc_id, lang, source FROM documents")
@@ -121,7 +121,7 @@ add("assign_ids_orders", "SELECT row_number() OVER (ORDER BY o_totalprice, o_ord
 add("dedup_exact", "SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
 add("dedup_rows", """SELECT conv_id, turn, role, text FROM (SELECT conv_id, turn, role, lower(text) AS text,
  row_number() OVER (PARTITION BY lower(text) ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1""")
-add("dedup_hot_rows", """SELECT flags, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, l_returnflag || '/' || l_linestatus AS flags,
+add("dedup_hot_rows", """SELECT flags, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate FROM (SELECT *, l_returnflag || '/' || l_linestatus AS flags,
  row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS r FROM lineitem) WHERE r = 1""")
 add("head_after_dedup", "SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text ORDER BY 1 LIMIT 100")
 add("preview", """SELECT c_custkey, 'C Name: ' || c_name || chr(10) || 'C Mktsegment: ' || c_mktsegment AS raw_description
@@ -129,7 +129,7 @@ add("preview", """SELECT c_custkey, 'C Name: ' || c_name || chr(10) || 'C Mktseg
 add("top_suppliers", "SELECT l_suppkey, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY count DESC, l_suppkey LIMIT 15")
 _first = "SELECT {k}, c AS raw_description, row_number() OVER (ORDER BY {k}) AS id FROM (SELECT {k}, c, row_number() OVER (PARTITION BY c ORDER BY {k}) AS r FROM {t}) WHERE r = 1"
 add("preprocess_job", f"{D}, u AS (SELECT doc_id, {unmojibake('dirty')} AS f FROM dirty WHERE {strip('dirty')} <> ''), t AS (SELECT doc_id, {cleaned('f')} AS c FROM u) {_first.format(k='doc_id', t='t')}")
-add("preprocess_chats", f"""WITH s AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN '<br>' ELSE text END AS x FROM conversations),
+add("preprocess_chats", f"""WITH s AS (SELECT conv_id, turn, text AS x FROM conversations UNION ALL SELECT conv_id, turn - 1, '<br>' FROM conversations WHERE turn = 0),
  u AS (SELECT conv_id, turn, {unmojibake('x')} AS f FROM s WHERE {strip('x')} <> ''), t AS (SELECT conv_id, turn, {cleaned('f')} AS c FROM u)
  {_first.format(k='conv_id, turn', t='t')}""")
 
@@ -208,18 +208,27 @@ add("resolve_two_attempts", f"{A}, {resolved('attempts', 2)} SELECT id, doc IS N
 
 def echoed(source: str, id_col: str, text: str) -> str:
     """The stand-in extractor as a table of attempts."""
-    reply = f"""CASE WHEN {id_col} % 5 = 0 THEN 'no idea' ELSE '{{"product_name": ' || CAST(to_json({text}[1:20]) AS VARCHAR) || ', "brand": "apple", "category": "tv", "confidence": 0.9}}' END"""
-    return f"""SELECT {id_col} AS id, CAST(1 AS INTEGER) AS attempt, CAST(NULL AS VARCHAR) AS raw_output FROM {source} WHERE {id_col} % 3 = 0
- UNION ALL SELECT {id_col}, CAST(CASE WHEN {id_col} % 3 = 0 THEN 2 ELSE 1 END AS INTEGER), {reply} FROM {source}"""
+    brand = f"(['apple', 'one plus', 'H&M', 'acme'])[1 + {id_col} % 4]"
+    category = f"(['tv', 'Gaming Laptop', 'wireless headphones', 'garden tools', 'smartphone'])[1 + {id_col} % 7 % 5]"
+    reply = f"""CASE WHEN {id_col} % 5 = 0 THEN 'no idea' ELSE '{{"product_name": ' || CAST(to_json({text}) AS VARCHAR)
+  || ', "brand": "' || {brand} || '", "category": "' || {category} || '", "confidence": 0.9}}' END"""
+    return f"""SELECT {id_col} AS id, CAST(1 AS INTEGER) AS attempt, CASE WHEN {id_col} % 3 <> 0 THEN {reply} END AS raw_output FROM {source}
+ UNION ALL SELECT {id_col}, CAST(2 AS INTEGER), {reply} FROM {source} WHERE {id_col} % 3 = 0 OR {id_col} % 5 = 0
+ UNION ALL SELECT {id_col}, CAST(3 AS INTEGER), {reply} FROM {source} WHERE {id_col} % 5 = 0"""
 
 
 add("apply_extractor", f"{L} {echoed('listings', 'listing_id', 'raw_description')}")
 
 # ---- validation ------------------------------------------------------------------------------
-ANSWERED = f"""{A}, tried AS (SELECT * FROM attempts WHERE listing_id % 17 <> 0), {resolved('tried', 3)},
+def answered(tried: str) -> str:
+    return f"""{A}, tried AS ({tried}), {resolved('tried', 3)},
  answered AS (SELECT l.listing_id AS id, l.raw_description, res.doc, coalesce(res.retry_count, 0) AS retry_count, res.llm_raw_output
   FROM listings l LEFT JOIN res ON res.id = l.listing_id)"""
-ODD = f"""{O}, {objects('odd_replies', 'o')}, answered AS (SELECT id, 'no price here' AS raw_description, doc, 0 AS retry_count, raw_output AS llm_raw_output FROM o)"""
+
+
+ANSWERED = answered("SELECT * FROM attempts")
+ODD = f"""{ctes('listings', 'odd_replies')}, {objects('odd_replies', 'o')}, answered AS (SELECT id, l.raw_description, doc, 0 AS retry_count, raw_output AS llm_raw_output
+ FROM o JOIN listings l ON l.listing_id = o.id)"""
 NUMS = "('BIGINT', 'UBIGINT', 'DOUBLE')"
 FIELDS = ["product_name", "brand", "category", "price", "currency", "offer", "availability", "delivery", "seller", "confidence"]
 
@@ -254,7 +263,8 @@ def fields(strict: bool = False) -> str:
               ("confidence", "missing", "k_confidence = 'ABSENT'", "Field required")]
     rules += [(n, "string_type", f"k_{n} NOT IN ('ABSENT', 'NULL', 'VARCHAR')", "Input should be a valid string") for n in ("offer", "delivery", "seller")]
     broken = " UNION ALL ".join(
-        f"SELECT id, '{f}' AS field, '{t}' AS type, '{m}' AS msg FROM typed WHERE doc IS NOT NULL AND {c}" for f, t, c, m in rules)
+        f"SELECT id, {i} AS place, '{f}' AS field, '{t}' AS type, '{m}' AS msg FROM typed WHERE doc IS NOT NULL AND {c}"
+        for i, (f, t, c, m) in enumerate(sorted(rules, key=lambda r: FIELDS.index(r[0]))))
     return f"""kinds AS (SELECT *, {raw} FROM answered),
  typed AS (SELECT id, raw_description, doc, retry_count, llm_raw_output, {', '.join(f'k_{n}' for n in FIELDS)},
   {text('product_name')}, {text('brand')}, {text('category')}, {price}, {currency}, {optional}, {stock}, {conf} FROM kinds),
@@ -268,7 +278,7 @@ def routed(threshold: float) -> str:
 
 TAGGED = f"{ANSWERED}, {fields()}, {routed(0.5)}"
 ODD_TAGGED = f"{ODD}, {fields()}, {routed(0.4)}"
-add("join_replies", f"{ANSWERED} SELECT id, raw_description, doc IS NOT NULL AS answered, retry_count, llm_raw_output FROM answered")
+add("join_replies", f"{answered('SELECT * FROM attempts WHERE listing_id % 17 <> 0')} SELECT id, raw_description, doc IS NOT NULL AS answered, retry_count, llm_raw_output FROM answered")
 add("coerce_price", f"{ODD}, {fields()} SELECT id, price FROM typed WHERE doc IS NOT NULL")
 add("coerce_price_strict", f"{ODD}, {fields(True)} SELECT id, price FROM typed WHERE doc IS NOT NULL")
 add("currency", f"{ODD}, {fields()} SELECT id, currency FROM typed WHERE doc IS NOT NULL")
@@ -283,10 +293,11 @@ add("validate_route_odd", f"{ODD_TAGGED} SELECT id, error_type FROM tagged")
 
 def detail(threshold: float) -> str:
     return f"""CASE error_type WHEN 'json_parse_error' THEN 'The extractor returned no valid JSON after all retries'
+  WHEN 'validation_error' THEN (SELECT '[' || string_agg('{{"field":"' || field || '","type":"' || type || '","msg":"' || msg || '"}}', ',' ORDER BY place) || ']' FROM broken WHERE broken.id = tagged.id)
   WHEN 'low_confidence' THEN 'Confidence ' || format('{{:.2f}}', confidence) || ' < threshold {threshold:.2f}' END AS error_detail"""
 
 
-_WANTED = "error_type IN ('low_confidence', 'json_parse_error')"
+_WANTED = "error_type IS NOT NULL"
 add("error_detail", f"""SELECT id, error_type, error_detail FROM ({ODD_TAGGED} SELECT id, error_type, {detail(0.4)} FROM tagged WHERE {_WANTED})
  UNION ALL SELECT id, error_type, error_detail FROM ({TAGGED} SELECT id, error_type, {detail(0.5)} FROM tagged WHERE {_WANTED})""")
 PRODUCT = ", ".join(FIELDS)
@@ -324,6 +335,10 @@ def stock_of(x: str) -> str:
 add("brand", f"{L}, {DIMS} SELECT listing_id, {brand_of('brand_txt')} AS brand FROM listings")
 add("category", f"{L}, {DIMS} SELECT listing_id, {category_of('category_txt')} AS category FROM listings")
 add("category_by_join", ORACLE["category"])
+add("category_many_aliases", """WITH d AS (SELECT lower(p_name) AS alias, min(p_partkey) AS p FROM part GROUP BY 1)
+ SELECT p_partkey, 'P' || (SELECT min(p) FROM d WHERE contains('the ' || lower(p_name) || ' x', alias)) AS category FROM part""")
+add("brand_many_aliases", "SELECT p_partkey, 'B' || p_partkey AS brand FROM part")
+add("json_column_order", "SELECT p_partkey, p_name AS title, CAST(9 * 9 + 61 * 10 + 71 AS BIGINT) AS specs_length, 'specs,title,aaa' AS names FROM part")
 add("availability", f"{L}, {DIMS} SELECT listing_id, {stock_of('avail_txt')} AS availability FROM listings")
 add("offer", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 2 THEN '10% off ' || s_name END AS offer FROM supplier")
 add("seller", """SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN '' WHEN s_suppkey % 4 = 2 THEN 'O''Neil & Sons ' || s_name END AS seller FROM supplier""")
@@ -336,26 +351,26 @@ add("postprocess_job", f"{CLEAN} SELECT * FROM clean")
 
 
 # ---- whole jobs ------------------------------------------------------------------------------
-def job(merged: str, replies: str) -> str:
+def job(merged: str, replies: str, key: str = "listing_id") -> str:
     """CTEs from a table ``m(listing_id, x)`` of merged texts to ``clean`` and ``tagged``."""
     return f"""m AS ({merged}), u AS (SELECT listing_id, {unmojibake('x')} AS f FROM m WHERE {strip('x')} <> ''),
  t AS (SELECT listing_id, {cleaned('f')} AS c FROM u), pre AS ({_first.format(k='listing_id', t='t')}),
  {replies}, answered AS (SELECT pre.id, pre.raw_description, res.doc, coalesce(res.retry_count, 0) AS retry_count, res.llm_raw_output
-  FROM pre LEFT JOIN res ON res.id = pre.id), {fields()}, {routed(0.5)}, {DIMS}, {CANON}"""
+  FROM pre LEFT JOIN res ON res.id = pre.{key}), {fields()}, {routed(0.5)}, {DIMS}, {CANON}"""
 
 
 _plain = "SELECT listing_id, raw_description AS x FROM listings"
 JOB = f"{A}, {job(_plain, resolved('attempts', 3))}"
 add("normalize_table_job", f"{JOB} SELECT * FROM clean")
-add("normalize_table_errors", f"{JOB} SELECT id, raw_description, error_type, retry_count, llm_raw_output FROM tagged WHERE error_type IS NOT NULL")
+add("normalize_table_errors", f"{JOB} SELECT id, raw_description, error_type, {detail(0.5)}, retry_count, llm_raw_output FROM tagged WHERE error_type IS NOT NULL")
 _labeled = "SELECT listing_id, 'Title: ' || raw_description || chr(10) || 'Kind: ' || category_txt AS x FROM listings"
 add("normalize_merged_job", f"{A}, {job(_labeled, resolved('attempts', 3))} SELECT id, raw_description, brand, price FROM clean")
 _echo = f"echo AS ({echoed('pre', 'id', 'raw_description')}), {resolved('echo', 3)}".replace("listing_id AS id, attempt, raw_output, regexp", "id, attempt, raw_output, regexp")
-_echo_job = f"{L}, {job(_plain, _echo.replace('SELECT listing_id AS id, attempt, raw_output', 'SELECT id, attempt, raw_output'))}"
+_echo_job = f"{L}, {job(_plain, _echo.replace('SELECT listing_id AS id, attempt, raw_output', 'SELECT id, attempt, raw_output'), 'id')}"
 SUMMARY = """SELECT count(*) AS total, count(*) FILTER (error_type IS NULL) AS success, count(*) FILTER (error_type IS NOT NULL) AS errors,
  round(100.0 * count(*) FILTER (error_type IS NULL) / count(*), 2) AS success_rate FROM tagged"""
 add("listing_files_job", f"{_echo_job} {SUMMARY}")
-add("listing_files_clean", f"{_echo_job} SELECT id, product_name, brand, category, price, raw_description FROM clean")
+add("listing_files_clean", f"{_echo_job} SELECT * FROM clean")
 
 # ---- analytics -------------------------------------------------------------------------------
 add("run_summary", f"{TAGGED} {SUMMARY}")
@@ -391,7 +406,7 @@ def described(x: str, source: str) -> str:
 
 add("describe_length", described("length(text)", "documents"))
 add("describe_orders", described("o_totalprice", "orders"))
-add("duplicates", """WITH c AS (SELECT CASE WHEN turn % 9 <> 8 THEN text END AS t FROM conversations)
+add("duplicates", """WITH c AS (SELECT text AS t FROM conversations UNION ALL SELECT NULL FROM conversations WHERE turn % 9 = 8)
  SELECT count(*) AS total, count(*) FILTER (t IS NULL) AS missing,
  count(*) - count(DISTINCT t) - CAST(bool_or(t IS NULL) AS INTEGER) AS duplicates FROM c""")
 
@@ -419,11 +434,43 @@ add("below_threshold", f"""{TAGGED} SELECT round(avg(confidence), 6) AS mean_con
  round(count(*) FILTER (confidence < 0.5) / count(*), 6) AS below_share FROM tagged WHERE error_type IS NULL OR error_type = 'low_confidence'""")
 add("stage_counts", f"""{JOB} SELECT 1 AS position, 'raw' AS stage, count(*) AS rows FROM listings UNION ALL SELECT 2, 'preprocessed', count(*) FROM pre
  UNION ALL SELECT 3, 'clean', count(*) FROM tagged WHERE error_type IS NULL UNION ALL SELECT 4, 'errors', count(*) FROM tagged WHERE error_type IS NOT NULL""")
-add("analytics_job", f"""{JOB}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM clean)
- SELECT 'category_counts' AS chart, category AS label, CAST(count(*) AS DOUBLE) AS value FROM clean GROUP BY 2
- UNION ALL SELECT 'availability_counts', availability, count(*) FROM clean GROUP BY 2
- UNION ALL SELECT 'error_counts', error_type, count(*) FROM tagged WHERE error_type IS NOT NULL GROUP BY 2
- UNION ALL SELECT * FROM (SELECT 'top_brands', brand, count(*) FROM clean GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 15)
- UNION ALL SELECT 'success_failure', CASE WHEN error_type IS NULL THEN 'Success' ELSE 'Failed' END, count(*) FROM tagged GROUP BY 2
- UNION ALL SELECT 'median_price', 'median', median(price) FROM clean""")
+
+
+def long(chart: str, label: str, table_sql: str, *measures: str) -> str:
+    """One chart as (chart, label, measure, value) rows."""
+    return " UNION ALL ".join(
+        f"SELECT '{chart}' AS chart, CAST({label} AS VARCHAR) AS label, '{m}' AS measure, round(CAST({m} AS DOUBLE), 4) AS value FROM ({table_sql})" for m in measures)
+
+
+def chart(name: str) -> str:
+    """The statement of a chart's own query, over the CTEs of the job."""
+    return ORACLE[name].replace(f"{CLEAN},", "WITH").replace(CLEAN, "").replace(TAGGED, "")
+
+
+_BINS, _BOX = ("low", "high", "count"), ("count", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
+_less = "SELECT avg(confidence) AS mean_confidence, 0.5 AS threshold, count(*) FILTER (confidence < 0.5) AS below, count(*) FILTER (confidence < 0.5) / count(*) AS below_share FROM clean"
+add("analytics_job", f"{JOB} " + " UNION ALL ".join([
+    long("run_summary", "'all'", SUMMARY, "total", "success", "errors", "success_rate"),
+    long("avg_confidence", "'all'", "SELECT avg(confidence) AS avg_confidence FROM clean", "avg_confidence"),
+    long("category_counts", "category", chart("category_counts"), "count"),
+    long("availability_counts", "availability", chart("availability_counts"), "count", "percent"),
+    long("error_counts", "error_type", chart("error_counts"), "count"),
+    long("top_brands", "brand", chart("top_brands"), "count"),
+    long("success_failure", "outcome", chart("success_failure"), "count", "percent"),
+    long("histogram_price", "bin", chart("histogram_price"), *_BINS),
+    long("histogram_confidence", "bin", chart("histogram_confidence"), *_BINS),
+    long("box_stats", "category", chart("box_stats"), *_BOX),
+    long("median_price", "'all'", chart("median_price"), "median"),
+    long("below_threshold", "'all'", _less, "mean_confidence", "threshold", "below", "below_share"),
+    long("enum_conformance", "field", chart("enum_conformance"), "share"),
+    long("histogram_length", "bin", hist("WITH", "listings", "length(raw_description)", 40), *_BINS),
+    long("describe_length", "'all'", described("length(raw_description)", "listings"), "count", "mean", "std", "min", "q1", "median", "q3", "max"),
+    long("duplicates", "'all'", "SELECT count(*) AS total, 0 AS missing, count(*) - count(DISTINCT raw_description) AS duplicates FROM listings", "total", "missing", "duplicates"),
+    long("stage_counts", "stage", ORACLE["stage_counts"].replace(JOB, ""), "position", "rows"),
+]))
 add("minimum_slice", f"{TAGGED}, {DIMS} SELECT category, count(*) AS count FROM (SELECT {category_of('category')} AS category FROM tagged WHERE error_type IS NULL) GROUP BY 1")
+add("normalize_one_text", f"""{A}, one AS (SELECT max(listing_id) AS k FROM listings), {resolved('attempts', 3)},
+ mended AS (SELECT listing_id, {unmojibake('raw_description')} AS f FROM listings JOIN one ON listing_id = k),
+ answered AS (SELECT listing_id AS id, {cleaned('f')} AS raw_description, res.doc, coalesce(res.retry_count, 0) AS retry_count, res.llm_raw_output
+ FROM mended LEFT JOIN res ON res.id = listing_id), {fields()}, {routed(0.5)}
+ SELECT id, raw_description, brand, price, error_type, retry_count FROM tagged""")

@@ -6,11 +6,10 @@ import json
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.views import table, view
+from checks.views import dealt, table, view
 from tidyshelf import lexicon as lx
 from tidyshelf.functions import json_text as js
 from tidyshelf.functions import price as pr
@@ -71,13 +70,13 @@ def remove_html(spark, d):
 
 @query
 def clean_description(spark, d):
-    return tx.clean_column(od.spread_scan(view(spark, d, "dirty")), "dirty").withColumnRenamed("dirty", "cleaned")
+    return tx.clean_column(dealt(view(spark, d, "dirty")), "dirty").withColumnRenamed("dirty", "cleaned")
 
 
 @query
 def clean_pages(spark, d):
     pages = table(spark, d, "pages").select("page_id", "html")
-    return tx.clean_column(od.spread_scan(pages), "html").withColumnRenamed("html", "cleaned")
+    return tx.clean_column(dealt(pages), "html").withColumnRenamed("html", "cleaned")
 
 
 @query
@@ -186,9 +185,9 @@ def resolve_columns(spark, d):
 
 @query
 def drop_empty(spark, d):
-    text = F.when(F.col("turn") % 3 == 0, F.lit("  \t\n")).when(F.col("turn") % 3 == 1, F.col("text"))
-    df = table(spark, d, "conversations").select("conv_id", "turn", text.alias("raw_description"))
-    return co.drop_empty(df)
+    """All texts, and for each a blank row and a null row beside it."""
+    blank = F.explode(F.array(F.col("text"), F.lit(" \u00a0 \t\n"), F.lit(None).cast("string")))
+    return co.drop_empty(table(spark, d, "conversations").select("conv_id", "turn", blank.alias("raw_description")))
 
 
 @query
@@ -220,8 +219,9 @@ def filter_confidence(spark, d):
 
 @query
 def numeric_price(spark, d):
-    text = F.when(F.col("listing_id") % 3 == 0, "N/A").when(F.col("listing_id") % 3 == 1, F.col("price_int").cast("string"))
-    return co.numeric_not_null(view(spark, d, "listings").select("listing_id", text.alias("price")), "price")
+    """All prices, and for each a word and a null beside it."""
+    price = F.explode(F.array(F.col("price_int").cast("string"), F.lit("N/A"), F.lit(None).cast("string")))
+    return co.numeric_not_null(view(spark, d, "listings").select("listing_id", price.alias("price")), "price")
 
 
 # ---- order, duplicates, top-k ----------------------------------------------------------------
@@ -255,7 +255,7 @@ def dedup_hot_rows(spark, d):
     lines = table(spark, d, "lineitem").select("l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
                                                F.concat_ws("/", "l_returnflag", "l_linestatus").alias("flags"))
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-    return de.dedup_exact(lines, "flags", order).select("flags", *order[:4])
+    return de.dedup_exact(lines, "flags", order).select("flags", *order)
 
 
 @query
@@ -278,13 +278,15 @@ def top_suppliers(spark, d):
 @query
 def preprocess_job(spark, d):
     dirty = view(spark, d, "dirty").withColumnRenamed("dirty", "raw_description")
-    return jobs.preprocess(dirty, "doc_id", spread=True).select("id", "doc_id", "raw_description")
+    return jobs.preprocess(dealt(dirty), "doc_id").select("id", "doc_id", "raw_description")
 
 
 @query
 def preprocess_chats(spark, d):
-    chats = table(spark, d, "conversations").select(
-        "conv_id", "turn", F.when(F.col("turn") == 0, "<br>").otherwise(F.col("text")).alias("raw_description"))
+    """All texts, and for each conversation a row that cleaning empties."""
+    chats = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("raw_description"))
+    dirt = chats.filter("turn = 0").select("conv_id", (F.col("turn") - 1).alias("turn"), F.lit("<br>").alias("raw_description"))
+    chats = chats.unionByName(dirt)
     return jobs.preprocess(chats, ["conv_id", "turn"]).select("id", "conv_id", "turn", "raw_description")
 
 
@@ -358,7 +360,7 @@ def _attempts(spark, d):
 
 
 def _resolved(spark, d):
-    return rs.resolve_attempts(od.spread_scan(_attempts(spark, d)), 3)
+    return rs.resolve_attempts(dealt(_attempts(spark, d)), 3)
 
 
 @query
@@ -374,35 +376,37 @@ def resolve_two_attempts(spark, d):
         "id", F.col("parsed").isNotNull().alias("answered"), "retry_count", "llm_raw_output")
 
 
-def echo_extractor(batch: pd.DataFrame):
-    """A stand-in for a model: every third id fails once, every fifth answers with prose."""
-    for i, text in zip(batch["id"], batch["raw_description"]):
-        if i % 3 == 0:
-            yield int(i), 1, None
-        start = 2 if i % 3 == 0 else 1
-        if i % 5 == 0:
-            yield int(i), start, "no idea"
-        else:
-            yield int(i), start, json.dumps(
-                {"product_name": text[:20], "brand": "apple", "category": "tv", "confidence": 0.9}, ensure_ascii=False)
+def echo_extractor(row):
+    """A stand-in for a model: every third id fails once, every fifth answers with prose only."""
+    if row.id % 3 == 0 and row.attempt == 1:
+        raise ConnectionError("no answer")
+    if row.id % 5 == 0:
+        return "no idea"
+    brands, categories = ("apple", "one plus", "H&M", "acme"), ("tv", "Gaming Laptop", "wireless headphones", "garden tools", "smartphone")
+    return json.dumps({"product_name": row.raw_description, "brand": brands[row.id % 4], "category": categories[row.id % 7 % 5],
+                       "confidence": 0.9}, ensure_ascii=False)
 
 
 @query
 def apply_extractor(spark, d):
+    """Attempts after mixed failures: one call that fails costs one attempt of one row."""
     raw = view(spark, d, "listings").select(F.col("listing_id").alias("id"), "raw_description")
-    return rs.apply_extractor(rs.build_prompts(raw, SHORT_TEMPLATE), echo_extractor, partitions=8)
+    return rs.apply_extractor(rs.build_prompts(raw, SHORT_TEMPLATE), echo_extractor, partitions=8, waits=())
 
 
 def _answered(spark, d):
-    """Every listing with its reply; listings divisible by 17 never got one."""
+    """Every listing with its reply."""
     raw = view(spark, d, "listings").select(F.col("listing_id").alias("id"), "raw_description")
-    tried = od.spread_scan(_attempts(spark, d).filter(F.col("id") % 17 != 0))
-    return rs.join_replies(raw, rs.resolve_attempts(tried, 3))
+    return rs.join_replies(raw, rs.resolve_attempts(dealt(_attempts(spark, d)), 3))
 
 
 @query
 def join_replies(spark, d):
-    return _answered(spark, d).select("id", "raw_description", F.col("parsed").isNotNull().alias("answered"), "retry_count", "llm_raw_output")
+    """Listings divisible by 17 never got a reply."""
+    raw = view(spark, d, "listings").select(F.col("listing_id").alias("id"), "raw_description")
+    tried = dealt(_attempts(spark, d).filter(F.col("id") % 17 != 0))
+    return rs.join_replies(raw, rs.resolve_attempts(tried, 3)).select(
+        "id", "raw_description", F.col("parsed").isNotNull().alias("answered"), "retry_count", "llm_raw_output")
 
 
 # ---- validation ------------------------------------------------------------------------------
@@ -410,7 +414,8 @@ def join_replies(spark, d):
 def _odd(spark, d):
     tried = view(spark, d, "odd_replies").select(
         F.col("listing_id").alias("id"), F.lit(1).alias("attempt"), "raw_output")
-    return rs.resolve_attempts(tried, 3).withColumn("raw_description", F.lit("no price here"))
+    raw = view(spark, d, "listings").select(F.col("listing_id").alias("id"), "raw_description")
+    return rs.resolve_attempts(tried, 3).join(raw, "id")
 
 
 def _typed(spark, d, **options):
@@ -479,7 +484,7 @@ def validate_route_odd(spark, d):
 @query
 def error_detail(spark, d):
     tagged = va.validate(_odd(spark, d), 0.4).unionByName(_tagged(spark, d))
-    return tagged.filter(F.col("error_type").isin("low_confidence", "json_parse_error")).select("id", "error_type", "error_detail")
+    return tagged.filter(F.col("error_type").isNotNull()).select("id", "error_type", "error_detail")
 
 
 @query
@@ -489,8 +494,7 @@ def split_clean(spark, d):
 
 @query
 def split_errors(spark, d):
-    errors = va.split(_tagged(spark, d))[1]
-    return errors.withColumn("error_detail", F.when(F.col("error_type") != "validation_error", F.col("error_detail")))
+    return va.split(_tagged(spark, d))[1]
 
 
 @query
@@ -523,6 +527,26 @@ def category_by_join(spark, d):
     return ca.normalize_category(_named(spark, d, "category_txt", "category"), dim)
 
 
+@query
+def category_many_aliases(spark, d):
+    """An alias table that grows with the data, with repeated aliases: the first in order counts."""
+    parts = table(spark, d, "part")
+    names = parts.select((2 * F.col("p_partkey")).alias("ord"), F.lower("p_name").alias("alias"), F.concat(F.lit("P"), "p_partkey").alias("canonical"))
+    again = parts.select((2 * F.col("p_partkey") + 1).alias("ord"), F.lower("p_name").alias("alias"), F.lit("never").alias("canonical"))
+    listings = parts.select("p_partkey", F.concat(F.lit(" The "), "p_name", F.lit(" x")).alias("category"))
+    return ca.normalize_category(listings, names.unionByName(again))
+
+
+@query
+def brand_many_aliases(spark, d):
+    """As many aliases as parts, each twice."""
+    name = F.concat_ws(" ", "p_brand", F.col("p_partkey").cast("string"))
+    parts = table(spark, d, "part").select("p_partkey", name.alias("brand"))
+    first = parts.select((2 * F.col("p_partkey")).alias("ord"), F.lower("brand").alias("alias"), F.concat(F.lit("B"), "p_partkey").alias("canonical"))
+    again = parts.select((2 * F.col("p_partkey") + 1).alias("ord"), F.lower("brand").alias("alias"), F.lit("never").alias("canonical"))
+    return ca.normalize_brand(parts, first.unionByName(again))
+
+
 @query
 def availability(spark, d):
     return ca.normalize_availability(_named(spark, d, "avail_txt", "availability"))
@@ -558,7 +582,7 @@ def postprocess_job(spark, d):
 def _normalized(spark, d):
     listings = view(spark, d, "listings").select("listing_id", "raw_description")
     return jobs.normalize_table(
-        listings, attempts=_attempts(spark, d), columns=["raw_description"], limit=None, order="listing_id", spread=True)
+        dealt(listings), attempts=_attempts(spark, d), columns=["raw_description"], order="listing_id", reply_key="listing_id")
 
 
 @query
@@ -568,14 +592,14 @@ def normalize_table_job(spark, d):
 
 @query
 def normalize_table_errors(spark, d):
-    return _normalized(spark, d).errors.select("id", "raw_description", "error_type", "retry_count", "llm_raw_output")
+    return _normalized(spark, d).errors
 
 
 @query
 def normalize_merged_job(spark, d):
     """Columns merged with labels; the detection finds them."""
     df = view(spark, d, "listings").select("listing_id", F.col("category_txt").alias("kind"), F.col("raw_description").alias("title"))
-    done = jobs.normalize_table(df, attempts=_attempts(spark, d), limit=None, order="listing_id")
+    done = jobs.normalize_table(df, attempts=_attempts(spark, d), order="listing_id", reply_key="listing_id")
     return done.clean.select("id", "raw_description", "brand", "price")
 
 
@@ -585,7 +609,7 @@ def listing_files_job(spark, d):
     folder = scratch(spark)
     listings = view(spark, d, "listings").orderBy("listing_id")
     listings.select("listing_id", "raw_description").write.option("header", True).option("escape", '"').csv(f"{folder}/in.csv")
-    cfg = PipelineConfig(f"{folder}/in.csv", f"{folder}/clean", f"{folder}/errors", extractor_partitions=8)
+    cfg = PipelineConfig(f"{folder}/in.csv", f"{folder}/clean", f"{folder}/errors", extractor_partitions=8, waits=(), scan_partitions=8)
     summary = jobs.run_pipeline(spark, cfg, echo_extractor)
     return summary.drop("duration_seconds")
 
@@ -595,9 +619,33 @@ def listing_files_clean(spark, d):
     """The clean table that the file job writes, as read back from Parquet."""
     folder = scratch(spark)
     view(spark, d, "listings").orderBy("listing_id").select("listing_id", "raw_description").write.json(f"{folder}/in.jsonl")
-    cfg = PipelineConfig(f"{folder}/in.jsonl", f"{folder}/clean", f"{folder}/errors", output_format="parquet")
+    cfg = PipelineConfig(f"{folder}/in.jsonl", f"{folder}/clean", f"{folder}/errors", output_format="parquet", waits=())
     jobs.run_pipeline(spark, cfg, echo_extractor)
-    return spark.read.parquet(f"{folder}/clean").select("id", "product_name", "brand", "category", "price", "raw_description")
+    return spark.read.parquet(f"{folder}/clean")
+
+
+@query
+def json_column_order(spark, d):
+    """A folder whose largest file is not its first, and whose first record holds 70 objects."""
+    folder = f"{scratch(spark)}/in.jsonl"
+    parts = table(spark, d, "part").orderBy("p_partkey").coalesce(1)
+    nested = F.to_json(F.transform(F.sequence(F.lit(1), F.lit(70)), lambda i: F.struct(i.alias("n"))))
+    line = lambda *columns: F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), v) for n, v in columns]), F.lit("}"))
+    name, key = F.concat(F.lit('"'), "p_name", F.lit('"')), F.col("p_partkey").cast("string")
+    parts.filter("p_partkey % 10 = 1").select(line(("specs", nested), ("title", name), ("aaa", key))).write.text(f"{folder}/a")
+    parts.filter("p_partkey % 10 <> 1").select(line(("aaa", key), ("title", name), ("specs", nested))).write.text(f"{folder}/b")
+    rows = read_listings(spark, f"{folder}/*", fmt="jsonl").drop("src_ord")
+    names = F.lit(",".join(rows.columns)).alias("names")
+    return rows.select(F.col("aaa").cast("long").alias("p_partkey"), "title", F.length("specs").cast("long").alias("specs_length"), names)
+
+
+@query
+def normalize_one_text(spark, d):
+    """One text of the table through all stages: the last, with its attempts."""
+    row = view(spark, d, "listings").orderBy(F.desc("listing_id")).first()
+    tried = _attempts(spark, d).filter(F.col("id") == row["listing_id"])
+    done = jobs.normalize_one(spark, row["raw_description"], row["listing_id"], attempts=tried)
+    return done.tagged.select("id", "raw_description", "brand", "price", "error_type", "retry_count")
 
 
 # ---- analytics -------------------------------------------------------------------------------
@@ -686,8 +734,10 @@ def describe_orders(spark, d):
 
 @query
 def duplicates(spark, d):
-    chats = table(spark, d, "conversations").withColumn("text", F.when(F.col("turn") % 9 != 8, F.col("text")))
-    return de.duplicate_report(chats, "text")
+    """All texts, and as many rows without one as there are ninth turns."""
+    chats = table(spark, d, "conversations").select("turn", "text")
+    missing = chats.filter("turn % 9 = 8").select("turn", F.lit(None).cast("string").alias("text"))
+    return de.duplicate_report(chats.unionByName(missing), "text")
 
 
 def _box_round(df):
@@ -730,21 +780,25 @@ def below_threshold(spark, d):
 def stage_counts(spark, d):
     raw = view(spark, d, "listings").select("listing_id", "raw_description")
     done = _normalized(spark, d)
-    return su.stage_counts(raw, done.tagged, done.tagged)
+    return su.stage_counts(raw, done.preprocessed, done.tagged)
 
 
 @query
 def analytics_job(spark, d):
-    """The chart tables of one run, as (chart, label, value) rows."""
+    """All chart tables of one run, as (chart, label, measure, value) rows."""
     done = _normalized(spark, d)
-    charts = analytics(done.tagged, done.clean)
-    picked = [("category_counts", "category"), ("availability_counts", "availability"), ("error_counts", "error_type"), ("top_brands", "brand"), ("success_failure", "outcome")]
-    rows = [charts[name].select(F.lit(name).alias("chart"), F.col(label).alias("label"), F.col("count").cast("double").alias("value"))
-            for name, label in picked]
-    rows.append(charts["median_price"].select(F.lit("median_price").alias("chart"), F.lit("median").alias("label"), F.col("median").alias("value")))
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
+    raw = view(spark, d, "listings").select("raw_description")
+    charts = analytics(done.tagged, done.clean, raw, preprocessed=done.preprocessed)
+    labels = {"category_counts": "category", "availability_counts": "availability", "error_counts": "error_type", "top_brands": "brand",
+              "success_failure": "outcome", "histogram_price": "bin", "histogram_confidence": "bin", "histogram_length": "bin",
+              "box_stats": "category", "enum_conformance": "field", "stage_counts": "stage"}
+    out = None
+    for name, chart in charts.items():
+        label = labels.get(name)
+        measures = [c for c in chart.columns if c != label]
+        pairs = F.array(*[F.struct(F.lit(c).alias("measure"), F.round(F.col(c).cast("double"), 4).alias("value")) for c in measures])
+        rows = chart.select(F.lit(name).alias("chart"), (F.col(label).cast("string") if label else F.lit("all")).alias("label"), F.inline(pairs))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

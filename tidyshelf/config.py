@@ -10,7 +10,10 @@ class PipelineConfig:
     """Parameters of :func:`tidyshelf.plans.jobs.run_pipeline`.
 
     ``limit`` of ``None`` or 0 means every row. ``extractor_partitions`` sets how many tasks call
-    the extractor at once (``None`` keeps the partitions as they are).
+    the extractor at once (``None`` keeps the partitions as they are). ``waits`` are the seconds
+    before the second, third, ... attempt. ``multiline=False`` lets Spark split CSV files whose records
+    do not span lines. ``columns`` names the input's columns in order, which saves JSON files a pass.
+    ``scan_partitions`` deals the input over so many tasks before cleaning.
     """
 
     input_path: str
@@ -24,3 +27,7 @@ class PipelineConfig:
     extractor_partitions: int | None = None
     output_format: str = "csv"
     strict_compat: bool = False
+    waits: tuple[float, ...] = (1.0, 2.0)
+    multiline: bool = True
+    columns: tuple[str, ...] | None = None
+    scan_partitions: int | None = None

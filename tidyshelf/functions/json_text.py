@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidyshelf import lexicon as lx
 from tidyshelf.functions.text import py_strip
 
-_FENCE = r"(?is)```(?:json)?\s*(.*?)```"
-_BRACES = r"(?s)\{.*\}"
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,8 +49,8 @@ def extract_json_object(text: Column) -> Column:
     A fence that holds another valid JSON value (a list, a number, ``null``) ends the search without
     an object. The text as a whole needs no third look: if it is an object, its braces span it.
     """
-    fence = F.when(F.contains(text, F.lit("```")), py_strip(F.regexp_extract(text, _FENCE, 1)))
-    braces = F.when(F.contains(text, F.lit("{")), F.regexp_extract(text, _BRACES, 0))
+    fence = F.when(F.contains(text, F.lit("```")), py_strip(F.regexp_extract(text, lx.REPLY_FENCE, 1)))
+    braces = F.when(F.contains(text, F.lit("{")), F.regexp_extract(text, lx.REPLY_BRACES, 0))
     other_value = lambda f: ~F.startswith(f, F.lit("{")) & is_json(f)
     return _bind(
         fence,

@@ -13,9 +13,11 @@ TAG = r"<[^>]+>"
 _GLYPHS = r"[\x{B7}\x{2013}-\x{25B8}]"
 _GLYPHS_FROM = lx.BULLETS + "".join(lx.PUNCTUATION)
 _GLYPHS_TO = "\n" * len(lx.BULLETS) + "".join(lx.PUNCTUATION.values())
-# Every character below U+0300 is in composed form and joins with none before it. Above, Python's
-# composer decides: it is faster than a regular expression over all safe ranges.
-_BEYOND_LATIN = r"[^\x{00}-\x{2FF}]"
+# Characters that composing never changes and that join with none before them: Latin and phonetic
+# letters, dashes, quotes and bullets, currency signs, geometric shapes, unified ideographs. A text
+# of these alone needs no composer.
+_SETTLED = r"\x{00}-\x{2FF}\x{2010}-\x{2027}\x{20A0}-\x{20BF}\x{25A0}-\x{25FF}\x{4E00}-\x{9FFF}"
+_UNSETTLED = f"[^{_SETTLED}]"
 # An ampersand that could start an entity.
 _ENTITY = r"&[^\t\n\f <&;]"
 
@@ -63,7 +65,7 @@ def _has_entity(c: Column) -> Column:
 
 
 def _may_compose(c: Column) -> Column:
-    return _not_ascii(c) & c.rlike(_BEYOND_LATIN)
+    return _not_ascii(c) & c.rlike(_UNSETTLED)
 
 
 def remove_html(c: Column) -> Column:

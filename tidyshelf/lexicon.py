@@ -295,3 +295,7 @@ def java_regex(pattern: str) -> str:
     """Spell a Python text pattern for Java: same ``\\s``, ``\\d`` and case folding."""
     out = pattern.replace(r"\s", WHITESPACE_CLASS).replace(r"\d", r"\p{Nd}")
     return "(?iu)" + out[4:] if out.startswith("(?i)") else out
+
+# Where a reply keeps its JSON.
+REPLY_FENCE = r"(?is)```(?:json)?\s*(.*?)```"
+REPLY_BRACES = r"(?s)\{.*\}"

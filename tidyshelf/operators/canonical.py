@@ -10,28 +10,25 @@ from pyspark.sql import functions as F
 
 from tidyshelf import lexicon as lx
 from tidyshelf.functions.text import py_lower_key, py_strip, py_title, sanitize_text
-
-# A mapping up to this many aliases is sent to every task; a longer one must come as a table.
-MAX_INLINE_ALIASES = 10_000
-# Up to this many aliases a substring scan per row is cheaper than a join on substrings.
-MAX_SCANNED_ALIASES = 200
+from tidyshelf.storage import Workspace
 
 Dimension = Mapping[str, str] | DataFrame
 
 
 def alias_table(df: DataFrame, dim: Dimension) -> DataFrame:
-    """``(ord, alias, canonical)``. A mapping is a local, broadcast table of checked size; a table
-    of the caller's is joined as Spark sees fit."""
+    """``(ord, alias, canonical)`` with one row per alias, the first in order.
+
+    A mapping is a local table. Whether a table is broadcast is up to Spark, which knows its size.
+    """
     if isinstance(dim, DataFrame):
-        return dim.select("ord", "alias", "canonical")
-    if len(dim) > MAX_INLINE_ALIASES:
-        raise ValueError(f"pass more than {MAX_INLINE_ALIASES} aliases as a DataFrame")
+        first = F.min(F.struct("ord", "canonical"))
+        return dim.groupBy("alias").agg(first.alias("_f")).select("_f.ord", "alias", "_f.canonical")
     rows = pa.table({
         "ord": pa.array(range(len(dim)), pa.int32()),
         "alias": pa.array(dim.keys(), pa.string()),
         "canonical": pa.array(dim.values(), pa.string()),
     })
-    return F.broadcast(df.sparkSession.createDataFrame(rows))
+    return df.sparkSession.createDataFrame(rows)
 
 
 def _look_up(df: DataFrame, column: str, dim: Dimension) -> DataFrame:
@@ -47,47 +44,40 @@ def normalize_brand(df: DataFrame, dim: Dimension = lx.BRAND_ALIASES) -> DataFra
     return found.withColumn("brand", value).select(*df.columns)
 
 
-def first_contained(key: Column, dim: Mapping[str, str]) -> Column:
-    """Canonical value of the first alias, in order, that the text contains."""
-    pairs = F.array(*[
-        F.struct(F.lit(a).alias("alias"), F.lit(c).alias("canonical")) for a, c in dim.items()
-    ])
-    hits = F.filter(pairs, lambda p: F.contains(key, p["alias"]))
-    return F.get(hits, F.lit(0))["canonical"]
+def _resolve_keys(keys: DataFrame, table: DataFrame, sizes: Column) -> DataFrame:
+    """``(_key, _hit)``: the alias equal to the key, else the first in order that the key contains.
 
+    Keys are cut into substrings as long as some alias, which meet the aliases in an equi-join.
+    """
+    size = F.char_length("_key")
+    keys = keys.withColumn("_sizes", sizes)
+    cuts = F.flatten(F.transform("_sizes", lambda n: F.transform(
+        F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.substring(F.col("_key"), i, n))))
+    parts = keys.select("_key", F.explode(F.array_distinct(cuts)).alias("alias"))
+    matched = parts.join(table.select("alias", "ord"), "alias").groupBy("_key").agg(
+        F.coalesce(F.min(F.when(F.col("alias") == F.col("_key"), F.col("ord"))), F.min("ord")).alias("ord"))
+    return matched.join(table.select("ord", F.col("canonical").alias("_hit")), "ord").select("_key", "_hit")
+
+
+def normalize_category(
+    df: DataFrame, dim: Dimension = lx.CATEGORY_ALIASES, workspace: Workspace | None = None
+) -> DataFrame:
+    """Alias match, else the first alias in dimension order contained in the text, else title case.
 
-def _contained_by_join(keys: DataFrame, table: DataFrame) -> DataFrame:
-    """``(_key, _part)`` for long dimensions: an equi-join on the substrings of the keys.
-
-    Only substrings as long as some alias can match, so those lengths alone are cut out.
+    One plan at every size: distinct keys are resolved first and one join brings them back. With a
+    workspace the resolved keys are written before that join, so that a frequent text can be split.
     """
-    lengths = table.select(F.char_length("alias").alias("_n")).distinct()
-    sizes = [r[0] for r in lengths.collect()]  # distinct alias lengths, a handful of integers
-
-    def cuts(n: int) -> Column:
-        starts = F.when(
-            F.char_length("_key") >= n, F.sequence(F.lit(1), F.char_length("_key") - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(F.col("_key"), i, F.lit(n)))
-
-    parts = F.array_distinct(F.concat(*[cuts(n) for n in sizes]))
-    exploded = keys.select("_key", F.explode(parts).alias("alias"))
-    return (
-        exploded.join(table, "alias").groupBy("_key").agg(F.min_by("canonical", "ord").alias("_part"))
-    )
-
-
-def normalize_category(df: DataFrame, dim: Dimension = lx.CATEGORY_ALIASES) -> DataFrame:
-    """Alias match, else the first alias in dimension order contained in the text, else title case."""
-    found = _look_up(df, "category", dim)
-    if isinstance(dim, DataFrame) or len(dim) > MAX_SCANNED_ALIASES:
-        keys = found.filter(F.col("_hit").isNull() & F.col("_key").isNotNull()).select("_key").distinct()
-        found = found.join(_contained_by_join(keys, alias_table(df, dim)), "_key", "left")
-        part = F.col("_part")
-    else:
-        part = F.when(F.col("_hit").isNull(), first_contained(F.col("_key"), dim))
-    value = F.coalesce(F.col("_hit"), part, py_title(py_strip(F.col("category"))))
-    return found.withColumn("category", value).select(*df.columns)
+    table = alias_table(df, dim)
+    lengths = F.array_sort(F.collect_set(F.char_length("alias")))
+    sizes = table.agg(lengths).scalar() if isinstance(dim, DataFrame) else F.array(
+        *[F.lit(n) for n in sorted({len(a) for a in dim})]).cast("array<int>")
+    keyed = df.withColumn("_key", py_lower_key(F.col("category")))
+    resolved = _resolve_keys(keyed.filter(F.col("_key").isNotNull()).select("_key").distinct(), table, sizes)
+    if workspace:
+        resolved = workspace.freeze(resolved, "categories")
+    value = F.coalesce(F.col("_hit"), py_title(py_strip(F.col("category"))))
+    return keyed.join(resolved, "_key", "left").withColumn("category", value).select(*df.columns)
 
 
 def normalize_availability(df: DataFrame, dim: Dimension = lx.AVAILABILITY_ALIASES) -> DataFrame:
@@ -117,10 +107,11 @@ def postprocess(
     brands: Dimension = lx.BRAND_ALIASES,
     categories: Dimension = lx.CATEGORY_ALIASES,
     availability: Dimension = lx.AVAILABILITY_ALIASES,
+    workspace: Workspace | None = None,
 ) -> DataFrame:
     """All canonical forms; name, price, delivery and confidence stay as they are."""
     named = normalize_brand(clean, brands)
-    placed = normalize_category(named, categories)
+    placed = normalize_category(named, categories, workspace)
     stocked = normalize_availability(placed, availability)
     return stocked.withColumns({
         "offer": normalize_offer(F.col("offer")),

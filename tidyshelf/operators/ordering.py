@@ -65,18 +65,6 @@ def assign_ids(
     return numbered.select((F.col("_start") + F.col("_row") + 1).alias("id"), *kept)
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan over all cores if it has less than half as many partitions.
-
-    For a few files that cannot be split (records over several lines, JSON arrays, one row group);
-    larger inputs have more partitions than cores and pass through. Only for a table that is read
-    and projected: the number of partitions is known from its plan, without a job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    partitions = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if 0 < partitions * 2 <= cores else df
-
-
 def head(df: DataFrame, n: int | None, order: str | Sequence[str]) -> DataFrame:
     """The first ``n`` rows in order; ``None`` or 0 keeps all."""
     return df.orderBy(*as_columns(order)).limit(n) if n else df

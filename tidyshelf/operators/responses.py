@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 from importlib import resources
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidyshelf.functions.json_text import extract_json_object
@@ -39,54 +41,73 @@ def build_prompts(df: DataFrame, template: str, column: str = "raw_description")
 
 def apply_extractor(
     prompts: DataFrame,
-    extractor: Callable[[pd.DataFrame], Iterable[tuple[int, int, str | None]]],
+    extractor: Callable[[NamedTuple], str | None],
     partitions: int | None = None,
     workspace: Workspace | None = None,
+    retry_limit: int = 3,
+    waits: Sequence[float] = (1.0, 2.0),
 ) -> DataFrame:
-    """Run the caller's extractor over Arrow batches and freeze what it answered.
+    """Ask the caller's extractor for each row, up to ``retry_limit`` times, and freeze the answers.
 
-    ``extractor`` gets a pandas frame with ``id``, ``raw_description`` and ``prompt`` and returns
-    ``(id, attempt, raw_output)`` rows, attempts counted from 1, ``None`` for a failed call. If it
-    raises, every row of the batch gets one failed attempt. Retries and waits are up to it. The
-    replies are written once: asking a model again could give other answers.
+    ``extractor`` gets a named tuple ``id, raw_description, prompt, attempt`` and returns a text, or
+    None for a failed call. If it raises, that call counts as failed, for its row alone; an answer of
+    another type is a mistake in the extractor and ends the job. Rows without a JSON object in their
+    answer are asked again in the next round, after a wait once per task. Rounds are written: asking a
+    model again could give other answers. Returns ``(id, attempt, raw_output)``.
     """
-
+    store = workspace_for(prompts, workspace)
+    todo, answered = prompts.select("id", "raw_description", "prompt"), None
+    for attempt in range(1, retry_limit + 1):
+        wait = waits[min(attempt - 2, len(waits) - 1)] if attempt > 1 and waits else 0.0
+        spread = todo.repartition(partitions) if partitions else todo
+        replies = store.freeze(spread.mapInPandas(_asking(extractor, attempt, wait), ATTEMPT_SCHEMA), "attempts")
+        answered = replies if answered is None else answered.unionByName(replies)
+        if attempt < retry_limit:
+            failed = replies.filter(extract_json_object(F.col("raw_output")).isNull()).select("id")
+            if failed.isEmpty():
+                break
+            todo = todo.join(failed, "id", "left_semi")
+    return answered
+
+
+def _asking(extractor: Callable, attempt: int, wait: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            try:
-                rows = list(extractor(batch))
-            except Exception:  # noqa: BLE001 - a failed call is data
-                rows = [(int(i), 1, None) for i in batch["id"]]
+        for i, batch in enumerate(batches):
+            if wait and not i:
+                time.sleep(wait)
+            rows = []
+            for row in batch.assign(attempt=attempt).itertuples(index=False, name="Prompt"):
+                try:
+                    answer = extractor(row)
+                except Exception:  # noqa: BLE001 - a failed call is data
+                    answer = None
+                if answer is not None and not isinstance(answer, str):
+                    raise TypeError(f"the extractor returned {type(answer).__name__}, not a text or None")
+                rows.append((int(row.id), attempt, answer))
             frame = pd.DataFrame(rows, columns=["id", "attempt", "raw_output"])
             yield frame.astype({"id": "int64", "attempt": "int32", "raw_output": "object"})
 
-    spread = prompts.repartition(partitions) if partitions else prompts
-    replies = spread.select("id", "raw_description", "prompt").mapInPandas(run, ATTEMPT_SCHEMA)
-    return workspace_for(prompts, workspace).freeze(replies, "attempts")
+    return run
 
 
 def resolve_attempts(attempts: DataFrame, limit: int = 3) -> DataFrame:
     """One reply per id: the first attempt that holds a JSON object.
 
     ``retry_count`` is the number of failures before it, or ``limit`` if all fail. The kept text is
-    the winner's, else the last one that is not null. One shuffle, with partial aggregation.
+    the winner's, else the last one that is not null. One shuffle: attempts are clustered and sorted
+    by id, their texts parsed once to tell which hold an object, and the chosen one parsed again.
     """
-    tried = (
-        attempts.filter(F.col("attempt").between(1, limit))
-        .withColumn("_parsed", extract_json_object(F.col("raw_output")))
-        .withColumn("_ok", F.col("_parsed").isNotNull())
-    )
-    winner = F.min_by(
-        F.when(F.col("_ok"), F.struct(F.col("_parsed").alias("parsed"), "raw_output", "attempt")),
-        F.when(F.col("_ok"), F.col("attempt")),
-    )
-    last = F.max_by("raw_output", F.when(F.col("raw_output").isNotNull(), F.col("attempt")))
-    grouped = tried.groupBy("id").agg(winner.alias("_won"), last.alias("_last"))
-    return grouped.select(
-        "id",
-        F.col("_won.parsed").alias("parsed"),
-        F.coalesce(F.col("_won.attempt") - 1, F.lit(limit)).cast("int").alias("retry_count"),
-        F.coalesce("_won.raw_output", "_last").alias("llm_raw_output"),
+    by_id = Window.partitionBy("id").orderBy("_rank")
+    usable = F.col("raw_output").isNotNull()
+    tried = attempts.filter(F.col("attempt").between(1, limit)).withColumn(
+        "_ok", extract_json_object(F.col("raw_output")).isNotNull())
+    # the first object, else the last text, else any
+    rank = F.when(F.col("_ok"), F.col("attempt")).when(usable, 2 * limit - F.col("attempt") + 1).otherwise(3 * limit)
+    chosen = tried.withColumn("_rank", rank).withColumn("_n", F.row_number().over(by_id)).filter("_n = 1")
+    return chosen.select(
+        "id", F.when(F.col("_ok"), extract_json_object(F.col("raw_output"))).alias("parsed"),
+        F.when(F.col("_ok"), F.col("attempt") - 1).otherwise(F.lit(limit)).cast("int").alias("retry_count"),
+        F.col("raw_output").alias("llm_raw_output"),
     )
 
 

@@ -38,12 +38,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
-    """Rows and percentage per value. The total is the sum of the counts, one row."""
-    counts = df.groupBy(column).agg(F.count("*").alias("count"))
-    total = df.agg(F.count("*")).scalar()
-    return counts.withColumn("percent", F.round(F.col("count") * 100.0 / total, 1)).orderBy(
-        F.desc("count"), column
-    )
+    """Rows and percentage per value. The input is counted once: the total sums the counts."""
+    values = df.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("count"))
+    total = values.agg(F.sum("count")).scalar()  # reads the same exchange again
+    return values.withColumn("percent", F.round(F.col("count") * 100.0 / total, 1)).select(
+        F.col("_value").alias(column), "count", "percent").orderBy(F.desc("count"), column)
 
 
 def top_k(df: DataFrame, column: str, k: int) -> DataFrame:

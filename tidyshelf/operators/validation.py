@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,8 +162,9 @@ def _computed_once(df: DataFrame) -> DataFrame:
 
     A filter on ``error_type`` would otherwise be rewritten in terms of the reply, with a copy of
     every rule per use. Rows are counted on the way (a metric), which the optimizer does not cross.
+    The metric is named after the plan, so that equal plans stay equal.
     """
-    return df.observe(f"validated_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+    return df.observe(f"validated_{df.semanticHash()}", F.count(F.lit(1)).alias("rows"))
 
 
 def validate(df: DataFrame, threshold: float = 0.5, strict_compat: bool = False) -> DataFrame:

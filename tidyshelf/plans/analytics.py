@@ -19,10 +19,13 @@ def analytics(
     threshold: float = 0.5,
     approximate: bool = False,
     workspace: Workspace | None = None,
+    preprocessed: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Chart tables by name. Persist ``tagged`` and ``clean`` first: each table reads one of them.
+    """Chart tables by name. ``tagged`` and ``clean`` should be written tables, as the jobs return
+    them: each chart reads one of them, by the columns it needs.
 
-    With ``raw`` (the table before cleaning) the length and duplicate reports are included.
+    With ``raw`` (the table before cleaning) the length and duplicate reports are included, with
+    ``preprocessed`` too (all rows before any limit) the counts of each stage.
     """
     errors = tagged.filter(F.col("error_type").isNotNull())
     tables = {
@@ -46,6 +49,7 @@ def analytics(
             "histogram_length": d.histogram(lengths, "length", 40),
             "describe_length": d.describe(lengths, "length", approximate, workspace),
             "duplicates": duplicate_report(raw, "raw_description"),
-            "stage_counts": s.stage_counts(raw, tagged, tagged),
         }
+    if raw is not None and preprocessed is not None:
+        tables["stage_counts"] = s.stage_counts(raw, preprocessed, tagged)
     return tables

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidyshelf.operators.columns import fill_missing
 
 ORDER = "src_ord"
-_HEAD_PIECES = 64
 
 
 def _csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
@@ -22,21 +21,37 @@ def _csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     )
 
 
-def _first_keys(spark: SparkSession, path: str) -> list[str]:
-    """Keys of the first record in file order. Only the head of the file is read."""
-    head = spark.read.option("lineSep", "}").text(path).limit(_HEAD_PIECES).collect()
-    text = "".join(r[0] + "}" for r in head).lstrip("﻿ \t\r\n[")
-    try:
-        record, _ = json.JSONDecoder().raw_decode(text)
-    except ValueError:
-        return []
-    return list(record) if isinstance(record, dict) else []
-
+def _first_keys(spark: SparkSession, files: list[str]) -> list[str]:
+    """Keys of the first record of the first file that has one.
 
-def _json(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
-    df = spark.read.option("multiLine", multiline).option("primitivesAsString", True).json(path)
+    The file comes in pieces that end in a closing brace, as many as the record takes.
+    """
+    for path in files:
+        text, held, enough = "", 0, 1
+        for piece in spark.read.option("lineSep", "}").text(path).toLocalIterator():
+            text, held = f"{text}{piece[0]}}}", held + 1
+            if held >= enough:
+                enough = held * 3 // 2 + 1
+                try:
+                    record, _ = json.JSONDecoder().raw_decode(text.lstrip("\ufeff \t\r\n["))
+                except ValueError:
+                    continue
+                return list(record) if isinstance(record, dict) else []
+        try:
+            record, _ = json.JSONDecoder().raw_decode(text.lstrip("\ufeff \t\r\n["))
+            return list(record) if isinstance(record, dict) else []
+        except ValueError:
+            continue
+    return []
+
+
+def _json(spark: SparkSession, path: str, multiline: bool, columns: list[str] | None) -> DataFrame:
+    reader = spark.read.option("multiLine", multiline).option("primitivesAsString", True)
+    if columns:
+        return reader.schema(", ".join(f"`{c}` STRING" for c in columns)).json(path)
+    df = reader.json(path)
     # schema inference sorts the names; put those of the first record back in their order
-    first = [k for k in _first_keys(spark, path) if k in df.columns]
+    first = [k for k in _first_keys(spark, sorted(df.inputFiles())) if k in df.columns]
     names = first + [c for c in df.columns if c not in first]
     plain = {n for n, t in df.dtypes if t == "string"}
     return df.select(*[
@@ -45,33 +60,35 @@ def _json(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
 
 
 FORMATS = {
-    ".csv": lambda spark, path, multiline: _csv(spark, path, multiline),
-    ".json": lambda spark, path, multiline: _json(spark, path, True),
-    ".jsonl": lambda spark, path, multiline: _json(spark, path, False),
+    ".csv": lambda spark, path, multiline, columns: _csv(spark, path, multiline),
+    ".json": lambda spark, path, multiline, columns: _json(spark, path, True, columns),
+    ".jsonl": lambda spark, path, multiline, columns: _json(spark, path, False, columns),
 }
 
 
 def read_listings(
-    spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = True
+    spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = True,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """A file or folder as a table of strings plus ``src_ord``; missing values are empty texts.
 
     The format comes from the suffix (``.csv``, ``.json``, ``.jsonl``) unless ``fmt`` names it.
     ``src_ord`` is (file, offset of the split, row), so it follows the file however it is split. CSV
     records may span lines; ``multiline=False`` lets Spark split large CSV files that have none
-    such. JSON nulls are empty texts, not the words ``None`` or ``nan`` (deviation).
+    such. Columns of JSON come in the order of the first record of the first file by path, then by
+    name; ``columns`` names them instead and saves the pass that looks for them. JSON nulls are empty texts, not the words ``None`` or ``nan`` (deviation).
     """
     suffix = f".{fmt.lstrip('.')}" if fmt else PurePosixPath(path.rstrip("/")).suffix
     reader = FORMATS.get(suffix.lower())
     if reader is None:
         raise ValueError(f"unsupported file type {suffix!r}; supported: {', '.join(sorted(FORMATS))}")
     try:
-        df = reader(spark, path, multiline)
+        df = reader(spark, path, multiline, columns)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"input not found: {path}") from error
         raise
-    names = [c for c in df.columns if c != "_corrupt_record"]
+    names = [c for c in (columns or df.columns) if c != "_corrupt_record"]
     if not names:
         raise ValueError(f"no usable data in {path}")
     order = F.struct(
