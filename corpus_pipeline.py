@@ -24,16 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays: that which gives the group its name."""
     ship_package(spark)
-    groups = jaccard_components(docs)
-    # an id that stands in several rows stays with one of them
-    named = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(named, "doc_id", "left_semi").select(docs.columns)
-    repeated = rows.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = rows.join(repeated, "doc_id", "left_anti")
-    again = rows.join(repeated, "doc_id", "left_semi").withColumn(
-        "__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__n = 1").drop("__n")
+    named = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    # an id that stands in several rows stays with one of them; the join's partitions serve the window too
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    rows = docs.join(named, "doc_id", "left_semi").withColumn("__place", place).filter("__place = 1")
     # a row without an id cannot be named by its group; it stays
-    return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    return rows.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
