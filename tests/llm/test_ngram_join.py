@@ -6,7 +6,7 @@ import pytest
 from tests.conftest import SF
 from tests.llm.conftest import ODD_TEXTS
 from tidyshelf.llm.common import mix, table
-from tidyshelf.llm.ngram_join import jaccard_components, signatures
+from tidyshelf.llm.ngram_join import jaccard_components, least_shared, signatures
 
 
 def plain_set(text):
@@ -77,3 +77,25 @@ def test_given_table_and_odd_texts(spark, odd, empty):
     rows = [(None if i == 3 else i // 2, t) for i, t in enumerate(ODD_TEXTS)]
     assert sorted((tuple(r) for r in jaccard_components(odd).collect()), key=str) == plain_components(rows)
     assert jaccard_components(empty).count() == 0
+
+
+def test_links_show_in_the_differences_from_a_leader():
+    """Whoever links to y but not to the leader shares at least as many of y's differences as stated."""
+    rng = random.Random(11)
+    tried = 0
+    for _ in range(4000):
+        leader = set(range(rng.choice([20, 38, 60, 150])))
+        y = set(leader)
+        for _ in range(rng.randrange(0, len(leader) // 4)):
+            y.discard(rng.choice(sorted(y)))
+            y.add(rng.randrange(1000, 1400))
+        x = set(y)
+        for _ in range(rng.randrange(0, len(leader) // 10)):
+            x.discard(rng.choice(sorted(x)))
+            if rng.random() < 0.7:
+                x.add(rng.randrange(1000, 1400))
+        link = lambda a, b: 100 * len(a & b) >= 90 * len(a | b)
+        if link(x, y) and not link(x, leader) and y != leader:
+            tried += 1
+            assert len((x ^ leader) & (y ^ leader)) >= least_shared(len(y ^ leader), len(y), len(leader))
+    assert tried > 100

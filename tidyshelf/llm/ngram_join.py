@@ -6,9 +6,12 @@ so that any k differences leave one subset untouched: similar sets share its sig
 pairs of k + 2 partitions; larger k takes single ones of more than k partitions.
 
 Sets with one signature form a bucket. Not all its pairs are tried: the set that shares most buckets
-leads, the others are compared with it exactly, and links merge into components. Only sets that still
-lie in different components of a bucket are compared further, led by the next sets in rank, until every
-pair across components has been tried. So no link is lost, and a group of n copies costs about n pairs.
+leads, the others are compared with it exactly, and links merge into components. If a bucket still has
+several components, a link between two of its sets would have to show in their differences from the
+leader: of x, not linked to the leader, and y, more than half of y's differences are differences of x as
+well (``least_shared``). So y is sought under its rarest differences, one more than may be missing, and x
+under all of its own; only pairs that meet there are compared. No link is lost, and a group of n copies
+costs about n comparisons, whether they link or not.
 
 Equal sets are one node from the start. A node is named by 64 bits of a hash of its shingles.
 """
@@ -218,6 +221,43 @@ def _linked(size: int, percent: int):
     return task
 
 
+def least_shared(differences: int, size: int, leader: int, percent: int = PERCENT) -> int:
+    """How many of y's differences from the leader every set must share that links to y but not to the leader.
+
+    Sets a and b link if they differ in at most (a + b) * r shingles, r = (100 - percent) / (100 + percent).
+    With d(x) > (x + leader) * r, and |x - y| = d(x) + d(y) - 2 * shared <= (x + y) * r, it follows that
+    2 * shared > d(y) + (leader - y) * r.
+    """
+    low, high = 100 - percent, 100 + percent
+    return max(1, (differences * high + (leader - size) * low) // (2 * high) + 1)
+
+
+def _differing(size: int, percent: int):
+    """Of each node and its leader: whether they link, and every shingle that only one of them has."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, kept = Hashes(), {}
+        for batch in batches:
+            rows = {"leader": [], "node": [], "linked": [], "needed": [], "element": []}
+            for leader, node, p, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if leader not in kept:
+                    if len(kept) >= 64:
+                        kept.clear()
+                    kept[leader] = shingles(_unpack(p), hashes, size)
+                lead, own = kept[leader], shingles(_unpack(q), hashes, size)
+                apart = np.setxor1d(lead, own, assume_unique=True)
+                n = len(apart)
+                rows["leader"].append(np.full(n, leader))
+                rows["node"].append(np.full(n, node))
+                rows["linked"].append(np.full(n, n * (100 + percent) <= (len(lead) + len(own)) * (100 - percent)))
+                # so many of the rarest differences must hold one that is shared
+                rows["needed"].append(np.full(n, n - least_shared(n, len(own), len(lead), percent) + 1))
+                rows["element"].append(apart.view(np.int64))
+            kinds = {"leader": pa.int64(), "node": pa.int64(), "linked": pa.bool_(), "needed": pa.int64(), "element": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows[c]) if rows[c] else [], k) for c, k in kinds.items()], list(kinds))
+
+    return task
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
                        percent: int = PERCENT, workspace: Workspace | None = None, keep: bool = False) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links).
@@ -249,34 +289,33 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         right = bodies.select(F.col("node").alias("b"), F.col("body").alias("q"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(_linked(size, percent), "a long, b long")
 
-    weighed = buckets.join(weights, "node")
-    leaders = weighed.groupBy("sig").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"))
-    pairs = buckets.join(store.freeze(leaders, "leaders"), "sig").filter("node <> leader").select(
+    leaders = buckets.join(weights, "node").groupBy("sig").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"))
+    led = store.freeze(leaders, "leaders")
+    pairs = buckets.join(led, "sig").filter("node <> leader").select(
         F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     found = store.freeze(links(pairs), "links")
     groups = connected(found, store)
 
-    # buckets of three or more nodes that lie in two or more components have pairs that were not tried
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    open_sigs = placed(buckets.filter("size > 2")).groupBy("sig").agg(
+    # buckets of three or more nodes that lie in two or more components have pairs that were not tried
+    still = placed(buckets.filter("size > 2")).groupBy("sig").agg(
         F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("sig")
-    ranked = store.freeze(weighed.filter("size > 2").join(open_sigs, "sig", "left_semi").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("weight"), F.desc("node")))), "ranked")
-    most = ranked.agg(F.max("rank")).first()[0] or 0
-    low, high = 2, 3
-    while low < most:  # leaders of ranks low..high-1 against all behind them
-        now = placed(ranked.select("sig", "node", "rank"))
-        lead = now.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
-            "sig", F.col("node").alias("leader"), F.col("rank").alias("r"), F.col("component").alias("c"))
-        pairs = now.join(lead, "sig").filter("rank > r AND component <> c").select(
-            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        more = store.freeze(links(pairs), "links")
-        if more.limit(1).count():
-            found = found.unionByName(more)
-            groups = connected(found, store)
-        low, high = high, 3 * high
+    parted = buckets.join(still, "sig", "left_semi").join(led, "sig").filter("node <> leader").select("leader", "node").distinct()
+    both = parted.join(bodies.select(F.col("node").alias("leader"), F.col("body").alias("p")), "leader").join(
+        bodies.select("node", F.col("body").alias("q")), "node").select("leader", "node", "p", "q")
+    apart = store.freeze(both.mapInArrow(_differing(size, percent), "leader long, node long, linked boolean, needed long, element long"), "apart")
+    rarity = apart.groupBy("leader", "element").agg(F.count("*").alias("times"))
+    rarest = F.row_number().over(Window.partitionBy("leader", "node").orderBy("times", "element"))
+    sought = placed(apart.join(rarity.filter("times > 1"), ["leader", "element"], "left").withColumn("times", F.coalesce("times", F.lit(1))).withColumn(
+        "rank", rarest).filter("rank <= needed AND times > 1").select("leader", "element", "node")).withColumnRenamed("component", "c")
+    offered = placed(apart.filter("NOT linked").select("leader", "element", "node")).withColumnRenamed("node", "other")
+    meeting = sought.join(offered, ["leader", "element"]).filter("c <> component").select(
+        F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    more = store.freeze(links(meeting), "links")
+    if not more.isEmpty():
+        groups = connected(found.unionByName(more), store)
     rows = filled.select("id", "node")
     least = rows.groupBy("node").agg(F.min("id").alias("least"))
     by_group = placed(least).groupBy("component").agg(F.min("least").alias("component_id"))
