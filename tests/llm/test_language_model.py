@@ -32,12 +32,12 @@ class Plain:
             self.kinds.setdefault(a, [0, 0, 0])[min(n, 3) - 1] += 1
         seen = lambda c: [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
         self.high, self.low = _discounts(seen(self.bi)), _discounts(seen(self.follows))
+        self.mass = sum(self.low[min(n, 3) - 1] for n in self.follows.values())
 
     def probability(self, a, b):
         off = lambda n, d: 0 if not n else d[min(n, 3) - 1]
         total = max(1, len(self.bi))
-        mass = sum(off(n, self.low) for n in self.follows.values()) / total
-        base = (self.follows[b] - off(self.follows[b], self.low)) / total + mass / (len(self.uni) + 1)
+        base = (self.follows[b] - off(self.follows[b], self.low)) / total + self.mass / total / (len(self.uni) + 1)
         if not self.context[a]:
             return base
         rest = sum(n * d for n, d in zip(self.kinds[a], self.high)) / self.context[a]
