@@ -462,7 +462,7 @@ add("analytics_job", f"{JOB} " + " UNION ALL ".join([
     long("box_stats", "category", chart("box_stats"), *_BOX),
     long("median_price", "'all'", chart("median_price"), "median"),
     long("below_threshold", "'all'", _less, "mean_confidence", "threshold", "below", "below_share"),
-    long("enum_conformance", "field", chart("enum_conformance"), "share"),
+    long("enum_conformance", "field", chart("enum_conformance").replace("FROM tagged WHERE error_type IS NULL", "FROM clean"), "share"),
     long("histogram_length", "bin", hist("WITH", "listings", "length(raw_description)", 40), *_BINS),
     long("describe_length", "'all'", described("length(raw_description)", "listings"), "count", "mean", "std", "min", "q1", "median", "q3", "max"),
     long("duplicates", "'all'", "SELECT count(*) AS total, 0 AS missing, count(*) - count(DISTINCT raw_description) AS duplicates FROM listings", "total", "missing", "duplicates"),
