@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyshelf.llm.common import table
+from tidyshelf.llm.cotraining import score_quality
 from tidyshelf.llm.decontaminate import find_hits, hit_columns
 from tidyshelf.llm.language_model import score_held_out
 from tidyshelf.llm.ngram_join import jaccard_components
@@ -36,6 +37,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"))
 
@@ -71,7 +76,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
-    "op2_language_model": op2_language_model, "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op6_warc": op6_warc,
+    "op2_language_model": op2_language_model, "op3_packing": op3_packing, "op4_cotraining": op4_cotraining, "op5_quality_rules": op5_quality_rules, "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
 }
