@@ -29,6 +29,8 @@ from tidyshelf.llm.common import crc_of, id_and_text, text_of, texts_in
 MAX_LABELLED = 6_000
 #: A term is learned if its smoothed log odds and its toxic texts reach these.
 MIN_LOG_ODDS, MIN_TEXTS = 3.0, 3
+#: And its share of toxic texts must be this unlikely by chance (nats), as very many terms are tried.
+MIN_GAIN = 14.0
 #: Lengths of word beginnings that may stand for a family of words.
 STEMS = (4, 5, 6, 7, 8)
 MAX_TERMS = 20_000
@@ -209,7 +211,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         counted = sample.mapInArrow(_count_terms, "term string, n0 long, n1 long").groupBy("term").agg(
             F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-        top = counted.filter((F.col("n1") >= MIN_TEXTS) & (odds >= MIN_LOG_ODDS)).select("term", odds.alias("w"), "n1").orderBy(
+        share, seen = n1 / max(1, n0 + n1), F.col("n0") + F.col("n1")
+        gain = F.col("n1") * F.log(F.col("n1") / seen / max(share, 1e-9)) + F.when(
+            F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / seen / max(1 - share, 1e-9))).otherwise(0.0)
+        top = counted.filter((F.col("n1") >= MIN_TEXTS) & (odds >= MIN_LOG_ODDS) & (gain >= MIN_GAIN)).select("term", odds.alias("w"), "n1").orderBy(
             F.desc("n1"), "term").limit(MAX_TERMS).collect()
         weights = {r["term"]: float(r["w"]) for r in top}
         words = {t: w for t, w in weights.items() if not t.endswith("*")}
