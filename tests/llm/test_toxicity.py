@@ -55,3 +55,16 @@ def test_odd_texts_and_missing_labels(spark, odd, empty):
 @pytest.mark.parametrize("limit", [5])
 def test_sample_bound(spark, limit):
     fit(table(spark, SF, "documents"), table(spark, SF, "labels"), limit=limit)
+
+
+def test_sampled_labels_keep_their_shares(spark):
+    """A word of 80 % of the toxic tenth and 20 % of the rest is no verdict, however few rows of each label are read."""
+    rows = [(i, i % 10 == 0, (i // 10) % 5 < (4 if i % 10 == 0 else 1)) for i in range(4000)]
+    docs = spark.createDataFrame([(i, "the idiot came by again" if weak else "a quiet day went by") for i, _, weak in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(toxic)) for i, toxic, _ in rows], "doc_id long, toxic int")
+    means = []
+    for limit in (200, 6000):
+        scores = [r["score"] for r in score_toxicity(docs, labels, limit=limit).collect()]
+        assert max(scores) < 0.5
+        means.append(sum(scores) / len(scores))
+    assert abs(means[0] - means[1]) < 0.03 and abs(means[1] - 0.1) < 0.02

@@ -7,7 +7,8 @@ transducers are composed once into one table of states; a text is a walk through
 
 Insults are learned: words and word beginnings that are far more frequent in toxic labelled texts. The
 grammar's sums then go through a logistic curve fitted on the same labelled rows. Fitting uses a bounded
-sample, ``MAX_LABELLED`` rows of each label, chosen by hash; scoring reads every text whole.
+sample, ``MAX_LABELLED`` rows of each label, chosen by hash, and the curve weights its rows back to the
+labels' true shares; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -188,8 +189,8 @@ class Model:
     curve: list[float]
 
 
-def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int, held_mod: int) -> DataFrame:
-    """Labelled training rows, at most ``limit`` of each label by hash of id and text."""
+def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int, held_mod: int) -> tuple[DataFrame, DataFrame]:
+    """Labelled training rows, at most ``limit`` ids of each label by hash of the id, and how many rows each label has without a limit."""
     marked = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     rows = df.filter(F.col(f"`{id_col}`").isNotNull() & (F.pmod(crc_of(id_col), F.lit(held_mod)) != 0)).select(
         F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
@@ -198,16 +199,22 @@ def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     for label in (0, 1):
         part = marked.filter((F.col("toxic") == label) & (F.pmod(crc_of("id"), F.lit(held_mod)) != 0)).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(limit)
         picked = part if picked is None else picked.unionByName(part)
-    return rows.join(F.broadcast(picked), "id").select("toxic", "text")
+    times = rows.groupBy("id").agg(F.count("*").alias("n"))
+    totals = times.join(marked.distinct(), "id").groupBy("toxic").agg(F.sum("n").alias("n"))
+    return rows.join(F.broadcast(picked), "id").select("toxic", "text"), totals
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         limit: int = MAX_LABELLED, held_mod: int = 5) -> Model:
     """Learn insult terms and the curve from labelled rows with crc32(id) mod ``held_mod`` not 0."""
-    sample = _sample(df, labels, id_col, text_col, label_col, limit, held_mod).persist()
+    sample, totals = _sample(df, labels, id_col, text_col, label_col, limit, held_mod)
+    sample = sample.persist()
     try:
         sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
         n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+        # the odds compare rates within labels and the gain tests chance within the sample, so both count sampled rows;
+        # weighted counts would claim more evidence than was read
+        weights_of = {r["toxic"]: r["n"] / sizes[r["toxic"]] for r in totals.collect() if sizes.get(r["toxic"])}
         counted = sample.mapInArrow(_count_terms, "term string, n0 long, n1 long").groupBy("term").agg(
             F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
@@ -230,17 +237,17 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         seen = sample.mapInArrow(measure, "y int, x array<double>").groupBy("x", "y").count().collect()  # at most 2 * limit rows
     finally:
         sample.unpersist()
-    return Model(words, stems, _logistic(seen))
+    return Model(words, stems, _logistic(seen, weights_of))
 
 
-def _logistic(rows) -> list[float]:
-    """Ridge logistic regression by Newton steps; intercept first. No rows: a curve on insults alone."""
+def _logistic(rows, weights_of: dict[int, float]) -> list[float]:
+    """Ridge logistic regression by Newton steps, each row weighted by its label; intercept first. No rows: a curve on insults alone."""
     width = Grammar.KINDS + 1
     if len({r["y"] for r in rows}) < 2:
         return [-3.0, *([2.0] * 2 + [0.5] * 2) * 2, 1.0][: width + 1]
     x = np.array([[1.0, *r["x"]] for r in rows])
     y = np.array([r["y"] for r in rows], float)
-    n = np.array([r["count"] for r in rows], float)
+    n = np.array([r["count"] * weights_of[r["y"]] for r in rows], float)
     b, ridge = np.zeros(width + 1), np.diag([1e-6] + [0.1] * width)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
