@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from tests.conftest import SF
 from tests.llm.conftest import ODD_TEXTS
@@ -58,6 +61,34 @@ def test_planted_passages(spark, seed, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
 
 
+def answered(texts, length, block):
+    """One shard's verdict on all windows of the texts."""
+    table = pa.table({
+        "shard": pa.array([0], pa.int32()), "part": pa.array([0], pa.int64()),
+        "bodies": [zstandard.ZstdCompressor().compress(b"".join(texts))],
+        "sizes": [np.array([(len(t) - length + 1) << 1 for t in texts], np.uint16).tobytes()]})
+    n = sum(len(t) - length + 1 for t in texts)
+    return np.unpackbits(np.frombuffer(suffix_dedup._answer_ends(length, block)(table)["answer"][0].as_py(), np.uint8), count=n).astype(bool)
+
+
+@pytest.mark.parametrize("block", [3, 100_000])
+def test_runs_longer_than_a_block(block):
+    rng = random.Random(1)
+    texts = [bytes(rng.choices(b"ab", k=rng.randrange(8, 40))) for _ in range(60)] + [b"x" * 50, b"x" * 9]
+    windows = [t[i : i + 8] for t in texts for i in range(len(t) - 7)]
+    seen = Counter(windows)
+    assert answered(texts, 8, block).tolist() == [seen[w] > 1 for w in windows]
+
+
+def test_last_run_starts_before_the_last_block():
+    assert answered([b"x" * 30_000] * 5, 200, suffix_dedup.BLOCK).all()
+
+
+def test_equal_hashes_of_different_bytes():
+    at = np.array([0, 2, 4, 6, 8])
+    assert suffix_dedup._first_equal(np.frombuffer(b"abcdabefcd", np.uint8), at, np.zeros(5, np.int64), 2, 2).tolist() == [0, 1, 0, 3, 1]
+
+
 def test_odd_texts(spark, odd, empty):
     rows = [(None if i == 3 else i // 2, t) for i, t in enumerate(ODD_TEXTS)]
     check(odd, rows)

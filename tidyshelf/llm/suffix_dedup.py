@@ -9,8 +9,8 @@ A rolling hash picks triggers; phrases run from trigger to trigger, so equal str
 2. Parse. An entry that occurs once can only hold repeated windows if the core behind its closing trigger
    occurs elsewhere. Only these entries, the ends of matches, are looked at byte by byte, each with one
    example of every repeated entry that has the same core.
-3. Suffix order. The windows of such entries are sorted like suffixes of the dictionary, compared on
-   ``LENGTH`` bytes; equal neighbours are repeated.
+3. Windows. The windows of such entries are brought together by hash and compared on ``LENGTH`` bytes;
+   equal ones are repeated.
 
 Texts travel in packs. A pack sends its distinct entries (two 64-bit hashes) to shards by core, and gets
 two bits for each back; ends of matches are sent and answered in the same way. Shards are as many as
@@ -41,8 +41,10 @@ TRIGGER, RARITY = 16, 32
 REACH = 150
 PACK_BYTES = 2 << 20
 SHARD_ENTRIES = 2_000_000
-#: Bytes of context that one task sorts.
+#: Bytes of context that one task compares.
 SHARD_BYTES = 16 << 20
+#: Windows whose bytes are laid out and compared at once.
+BLOCK = 100_000
 
 _UNKNOWN, _REPEATED, _END, _EXAMPLE = range(4)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -178,6 +180,23 @@ def _answer_entries(table: pa.Table) -> pa.Table:
     })
 
 
+def _first_equal(buffer: np.ndarray, at: np.ndarray, number: np.ndarray, length: int, block: int) -> np.ndarray:
+    """For each window, the first one with the same bytes; windows with different ``number`` differ.
+
+    Each is compared with the first of its number, ``block`` at a time; those that differ from it go again.
+    """
+    first, left = np.arange(len(at)), np.arange(len(at))
+    strings = np.lib.stride_tricks.sliding_window_view(buffer, length) if len(at) else None
+    while len(left):
+        _, lead, run = np.unique(number[left], return_index=True, return_inverse=True)
+        lead = left[lead][run]
+        same = np.concatenate([
+            (strings[at[left[i : i + block]]] == strings[at[lead[i : i + block]]]).all(1) for i in range(0, len(left), block)])
+        first[left[same]] = lead[same]
+        left = left[~same]
+    return first
+
+
 def _states(answers: list[bytes] | None) -> np.ndarray:
     decompress = zstandard.ZstdDecompressor().decompress
     return np.frombuffer(b"".join(decompress(a) for a in answers or []), np.uint8)
@@ -216,7 +235,7 @@ def _send_ends(column: str, shards: int, end_shards: int, length: int):
     return task
 
 
-def _answer_ends(length: int):
+def _answer_ends(length: int, block: int):
     def group(table: pa.Table) -> pa.Table:
         unpack_ = zstandard.ZstdDecompressor()
         rows = table.select(["shard", "part", "bodies", "sizes"]).to_pylist()
@@ -229,17 +248,8 @@ def _answer_ends(length: int):
         _, inverse = np.unique(Rolling(buffer).of(at, at + length), return_inverse=True)
         likely = np.flatnonzero(np.bincount(inverse, weight[owner])[inverse] > 1)
         repeated = np.zeros(len(at), bool)
-        # the suffixes with an equal hash, in true order of their bytes, in blocks of bounded size
-        likely = likely[np.argsort(inverse[likely], kind="stable")]
-        run = np.flatnonzero(np.diff(inverse[likely], prepend=-1))
-        cut = 0
-        for stop in [*run[np.searchsorted(run, np.arange(100_000, len(likely), 100_000))[:]].tolist(), len(likely)] if len(run) else []:
-            own = likely[cut:stop]
-            cut = stop
-            if len(own):
-                strings = np.lib.stride_tricks.sliding_window_view(buffer, length)[at[own]]
-                _, same = np.unique(np.ascontiguousarray(strings).view(f"V{length}").ravel(), return_inverse=True)
-                repeated[own] = np.bincount(same.ravel(), weight[owner[own]])[same.ravel()] > 1
+        first = _first_equal(buffer, at[likely], inverse[likely], length, block)
+        repeated[likely] = np.bincount(first, weight[owner[likely]], len(likely))[first] > 1
         ends = np.cumsum([int((p >> 1).sum()) for p in packed])
         masks = np.split(repeated, ends[:-1])
         return pa.table({
@@ -309,7 +319,7 @@ def _deduplicated(rows: DataFrame, column: str, names: list[str], with_text: boo
     ends_sent = known.select("part", "body", "answers").mapInArrow(
         _send_ends(column, shards, end_shards, length), "shard int, part long, bodies binary, sizes binary")
     masks = store.freeze(ends_sent.repartition(end_shards, "shard").groupBy("shard").applyInArrow(
-        _answer_ends(length), "part long, shard int, answer binary"), "masks")
+        _answer_ends(length, BLOCK), "part long, shard int, answer binary"), "masks")
     both = known.join(answers_by_part(masks).withColumnRenamed("answers", "masks"), "part", "left")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + (", n_bytes long, n_removed long, n_spans long, kept_sha256 string" if with_digest else "")
