@@ -61,6 +61,35 @@ def test_planted_passages(spark, seed, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
 
 
+def test_common_passage_behind_own_words(spark, monkeypatch):
+    """Every end of a match has one core; its windows still spread over the shards, and each is judged."""
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 3000)
+    rng = random.Random(7)
+    prose = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    passage, leads = prose(320), [prose(150) for _ in range(4)]
+    rows = [(i, prose(90) + (leads[i % 4][i % 7 :] if i % 3 == 0 else "") + passage[i % 5 :] + prose(90)) for i in range(80)]
+    rows += [(100 + i, passage) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (0, 5, 8192):
+        monkeypatch.setattr(suffix_dedup, "HOT_ENDS", hot)
+        check(df, rows)
+
+
+def test_hot_core_is_split():
+    rng = random.Random(3)
+    prose = lambda n: bytes(rng.choices(b"abcdefgh ", k=n))
+    passage = prose(400)
+    texts = [prose(300) + passage + prose(300) for _ in range(200)]
+    buffer, starts = np.frombuffer(b"".join(texts), np.uint8), np.arange(201) * 1000
+    parse = suffix_dedup.Parse(buffer, starts, 1)
+    core, times = np.unique(parse.core, return_counts=True)
+    states = np.where(parse.core == core[times.argmax()], suffix_dedup._HOT_END, 0)
+    assert times.max() >= 200
+    ends = suffix_dedup._ends(buffer, parse, states, 8, 50)
+    sent = np.bincount(ends.shard, minlength=8)
+    assert sent.max() < 2 * sent.sum() / 8 and len(set(buffer[a : a + 200].tobytes() for a in ends.low)) == len(ends.low)
+
+
 def answered(texts, length, block):
     """One shard's verdict on all windows of the texts."""
     table = pa.table({

@@ -10,10 +10,11 @@ A rolling hash picks triggers; phrases run from trigger to trigger, so equal str
    occurs elsewhere. Only these entries, the ends of matches, are looked at byte by byte, each with one
    example of every repeated entry that has the same core.
 3. Windows. The windows of such entries are brought together by hash and compared on ``LENGTH`` bytes;
-   equal ones are repeated.
+   equal ones are repeated. Entries meet by core; where a core has more than ``HOT_ENDS`` of them, each
+   distinct window of a pack goes by its own hash instead, so that no core fills a task.
 
 Texts travel in packs. A pack sends its distinct entries (two 64-bit hashes) to shards by core, and gets
-two bits for each back; ends of matches are sent and answered in the same way. Shards are as many as
+what is known of each back; ends of matches are sent and answered in the same way. Shards are as many as
 keep one within ``SHARD_ENTRIES``, and a string repeated within a pack is sent once. Step 3 compares
 bytes; steps 1 and 2 trust 64 bits.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -43,10 +45,13 @@ PACK_BYTES = 2 << 20
 SHARD_ENTRIES = 2_000_000
 #: Bytes of context that one task compares.
 SHARD_BYTES = 16 << 20
+#: Ends of matches and examples of one core that may meet in one task.
+HOT_ENDS = 8_192
 #: Windows whose bytes are laid out and compared at once.
 BLOCK = 100_000
 
-_UNKNOWN, _REPEATED, _END, _EXAMPLE = range(4)
+#: The last two are ends and examples of a core that has very many.
+_UNKNOWN, _REPEATED, _END, _EXAMPLE, _HOT_END, _HOT_EXAMPLE = range(6)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -154,7 +159,14 @@ def _send_entries(column: str, shards: int, length: int):
     return task
 
 
-def _answer_entries(table: pa.Table) -> pa.Table:
+def _answer_entries(hot_ends: int):
+    def group(table: pa.Table) -> pa.Table:
+        return _known_of_entries(table, hot_ends)
+
+    return group
+
+
+def _known_of_entries(table: pa.Table, hot_ends: int) -> pa.Table:
     """What is known of each entry, and how many are ends of matches or examples."""
     squeeze, unpack_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     rows = table.select(["shard", "part", "cores", "entries"]).to_pylist()
@@ -172,11 +184,13 @@ def _answer_entries(table: pa.Table) -> pa.Table:
     state = np.where(repeated, _REPEATED, np.where(shared, _END, _UNKNOWN)).astype(np.uint8)
     first = first[repeated[first] & has_end[first]]
     state[first] = _EXAMPLE
+    state[(state >= _END) & (np.bincount(group, state >= _END)[group] > hot_ends)] += _HOT_END - _END
     parts = np.split(state, np.cumsum(sizes)[:-1])
     return pa.table({
         "part": pa.array([r["part"] for r in rows], pa.int64()), "shard": pa.array([r["shard"] for r in rows], pa.int32()),
         "answer": pa.array([squeeze.compress(p.tobytes()) for p in parts], pa.binary()),
-        "ends": pa.array([int((p >= _END).sum()) for p in parts], pa.int64()),
+        "ends": pa.array([int(((p == _END) | (p == _EXAMPLE)).sum()) for p in parts], pa.int64()),
+        "hot": pa.array([int((p >= _HOT_END).sum()) for p in parts], pa.int64()),
     })
 
 
@@ -202,32 +216,63 @@ def _states(answers: list[bytes] | None) -> np.ndarray:
     return np.frombuffer(b"".join(decompress(a) for a in answers or []), np.uint8)
 
 
-def _ends(parse: Parse, states: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct entries to be looked at byte by byte, in the order in which they are sent, and their shards."""
-    found = np.flatnonzero(states >= _END)
-    shard = (mix(parse.core[found]) % np.uint64(shards)).astype(np.int64)
+@dataclass
+class Ends:
+    """Pieces of a buffer to be looked at byte by byte, in the order in which they are sent: first and last window,
+    whether the windows are known to repeat, and shard; then places that may be repeated, and the windows that tell."""
+
+    low: np.ndarray
+    high: np.ndarray
+    known: np.ndarray
+    shard: np.ndarray
+    place: np.ndarray
+    window: np.ndarray
+
+
+def _ends(buffer: np.ndarray, parse: Parse, states: np.ndarray, shards: int, block: int) -> Ends:
+    length = parse.length
+    found = np.flatnonzero((states == _END) | (states == _EXAMPLE))
+    at = parse.first[found]
+    low, high, known = parse.low[at], parse.high[at], states[found] == _EXAMPLE
+    key = mix(parse.core[found])
+    hot = np.flatnonzero(states >= _HOT_END)
+    places, owner = _ranges(parse.low[parse.first[hot]], parse.high[parse.first[hot]])
+    piece = np.zeros(0, np.int64)
+    if len(hot):  # single windows, each distinct one once
+        number = Rolling(buffer).of(places, places + length)
+        lead, piece, times = np.unique(_first_equal(buffer, places, number, length, block), return_inverse=True, return_counts=True)
+        sure = np.bincount(piece, states[hot][owner] == _HOT_EXAMPLE) > 0
+        low, high, known = np.concatenate((low, places[lead])), np.concatenate((high, places[lead])), np.concatenate((known, sure | (times > 1)))
+        key = np.concatenate((key, number[lead]))
+    shard = (key % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    return found[order], shard[order]
-
-
-def _send_ends(column: str, shards: int, end_shards: int, length: int):
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    begin = np.concatenate(([0], np.cumsum((high - low + 1)[order])))[:-1]
+    cold = np.flatnonzero(states[found] == _END)
+    own, of = _ranges(low[cold], high[cold])
+    mine = states[hot][owner] == _HOT_END
+    place = np.concatenate((own, places[mine]))
+    window = np.concatenate((begin[rank[cold]][of] + own - low[cold][of], begin[rank[len(found) + piece[mine]]]))
+    return Ends(low[order], high[order], known[order], shard[order], place, window)
+
+
+def _send_ends(column: str, shards: int, end_shards: int, length: int, block: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part, body, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 buffer, starts = _buffer(unpack(body), column)
                 parse, states = Parse(buffer, starts, shards, length), _states(answers)
-                found, shard = _ends(parse, states, end_shards)
-                cuts = np.searchsorted(shard, np.arange(end_shards + 1))
+                ends = _ends(buffer, parse, states, end_shards, block)
+                cuts = np.searchsorted(ends.shard, np.arange(end_shards + 1))
                 held = np.flatnonzero(np.diff(cuts)).tolist()
                 bodies, sizes = [], []
                 for s in held:
-                    own = found[cuts[s] : cuts[s + 1]]
-                    at = parse.first[own]
-                    low, high = parse.low[at], parse.high[at]
+                    low, high, known = (x[cuts[s] : cuts[s + 1]] for x in (ends.low, ends.high, ends.known))
                     where, _ = _ranges(low, high + length - 1)
                     bodies.append(squeeze.compress(buffer[where].tobytes()))
-                    sizes.append((((high - low + 1) << 1) | (states[own] == _EXAMPLE)).astype(np.uint16).tobytes())
+                    sizes.append((((high - low + 1) << 1) | known).astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(held, pa.int32()), pa.array([part] * len(held), pa.int64()), pa.array(bodies, pa.binary()),
                     pa.array(sizes, pa.binary())], ["shard", "part", "bodies", "sizes"])
@@ -260,19 +305,18 @@ def _answer_ends(length: int, block: int):
     return group
 
 
-def _finish(column: str, shards: int, end_shards: int, length: int, names: list[str], with_text: bool, with_digest: bool):
-    def covered(parse: Parse, states: np.ndarray, masks: list[bytes], size: int) -> np.ndarray:
-        steps = np.zeros(size + 1, np.int64)
-        whole = np.flatnonzero((states == _REPEATED)[parse.inverse] | (states == _EXAMPLE)[parse.inverse])
+def _finish(column: str, shards: int, end_shards: int, length: int, block: int, names: list[str], with_text: bool, with_digest: bool):
+    def covered(buffer: np.ndarray, parse: Parse, states: np.ndarray, masks: list[bytes]) -> np.ndarray:
+        steps = np.zeros(len(buffer) + 1, np.int64)
+        whole = np.flatnonzero(np.isin(states, (_REPEATED, _EXAMPLE, _HOT_EXAMPLE))[parse.inverse])
         np.add.at(steps, parse.low[whole], 1)
         np.add.at(steps, parse.high[whole] + length, -1)
-        found, shard = _ends(parse, states, end_shards)
-        at = parse.first[found]
-        where, owner = _ranges(parse.low[at], parse.high[at])
-        if len(found):
-            counts = np.bincount(np.searchsorted(np.unique(shard), shard[owner]))
+        ends = _ends(buffer, parse, states, end_shards, block)
+        if len(ends.shard):
+            _, owner = np.unique(ends.shard, return_inverse=True)
+            counts = np.bincount(owner, ends.high - ends.low + 1).astype(np.int64).tolist()
             bits = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(masks, counts, strict=True)])
-            hit = where[(bits == 1) & (states[found] == _END)[owner]]
+            hit = ends.place[bits[ends.window] == 1]
             np.add.at(steps, hit, 1)
             np.add.at(steps, hit + length, -1)
         return np.cumsum(steps[:-1]) > 0
@@ -282,7 +326,7 @@ def _finish(column: str, shards: int, end_shards: int, length: int, names: list[
             for body, answers, masks in zip(*(batch.column(c).to_pylist() for c in ("body", "answers", "masks")), strict=True):
                 rows = unpack(body)
                 buffer, starts = _buffer(rows, column)
-                gone = covered(Parse(buffer, starts, shards, length), _states(answers), masks or [], len(buffer))
+                gone = covered(buffer, Parse(buffer, starts, shards, length), _states(answers), masks or [])
                 rising = gone & ~np.concatenate(([False], gone[:-1]))
                 rising[starts[:-1][starts[:-1] < len(buffer)]] |= gone[starts[:-1][starts[:-1] < len(buffer)]]
                 removed, spans = (np.concatenate(([0], np.cumsum(x)))[starts] for x in (gone, rising))
@@ -312,18 +356,18 @@ def _deduplicated(rows: DataFrame, column: str, names: list[str], with_text: boo
     shards = max(least, bytes_in // RARITY * 3 // 2 // SHARD_ENTRIES + 1)
     sent = packs.mapInArrow(_send_entries(column, shards, length), "shard int, part long, cores binary, entries binary")
     states = store.freeze(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(
-        _answer_entries, "part long, shard int, answer binary, ends long"), "states")
-    ends = states.agg(F.sum("ends")).first()[0] or 0
-    end_shards = max(least, ends * (length + RARITY) // SHARD_BYTES + 1)
+        _answer_entries(HOT_ENDS), "part long, shard int, answer binary, ends long, hot long"), "states")
+    ends, hot = (n or 0 for n in states.agg(F.sum("ends"), F.sum("hot")).first())
+    end_shards = max(least, (ends * (length + RARITY) + hot * RARITY * length) // SHARD_BYTES + 1)
     known = packs.join(answers_by_part(states), "part", "left")
     ends_sent = known.select("part", "body", "answers").mapInArrow(
-        _send_ends(column, shards, end_shards, length), "shard int, part long, bodies binary, sizes binary")
+        _send_ends(column, shards, end_shards, length, BLOCK), "shard int, part long, bodies binary, sizes binary")
     masks = store.freeze(ends_sent.repartition(end_shards, "shard").groupBy("shard").applyInArrow(
         _answer_ends(length, BLOCK), "part long, shard int, answer binary"), "masks")
     both = known.join(answers_by_part(masks).withColumnRenamed("answers", "masks"), "part", "left")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + (", n_bytes long, n_removed long, n_spans long, kept_sha256 string" if with_digest else "")
-    return both.mapInArrow(_finish(column, shards, end_shards, length, names, with_text, with_digest), schema)
+    return both.mapInArrow(_finish(column, shards, end_shards, length, BLOCK, names, with_text, with_digest), schema)
 
 
 def measure_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, length: int = LENGTH,
