@@ -1,6 +1,8 @@
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm.conftest import ODD_TEXTS
@@ -47,3 +49,26 @@ def test_failed_lines_go(spark):
     flood = spark.createDataFrame([(1, good + "\n" + "\n".join(f"a{i} | b{i} | c{i} | d{i}" for i in range(40)))], "doc_id long, text string")
     row = judge_documents(flood).first()
     assert not row["base_failed"] and not row["kept"]
+
+
+def test_late_and_uncommon_capitals_shout(spark):
+    """Capitals among a line's last characters, and cased characters that are no letters."""
+    good = "\n".join(f"A plain sentence number {i} that says something new about item {i * 7}." for i in range(8))
+    lines = ["1 2 3 4 5 6 7 8 9 X", "1 2 \u2163", "\u24b6 - \u24b7 -", "1 2 \u01c4", "\u0130 1 2"]
+    df = spark.createDataFrame([(i, f"{x}\nabc\n{good}") for i, x in enumerate(lines)], "doc_id long, text string")
+    for r in judge_documents(df, cleaned=True).collect():
+        assert r["clean_text"] == f"abc\n{good}" and r["lost_words"] == len(lines[r["doc_id"]].split())
+    rows = "\n".join(f"{i} {i + 1} {i + 2} {i * 3} {i * 5} X\nabc{i}" for i in range(100, 140))
+    row = judge_documents(spark.createDataFrame([(1, rows)], "doc_id long, text string")).first()
+    assert row["lost_words"] == 240 and not row["base_failed"] and not row["kept"]
+
+
+def test_pre_filter_misses_no_line(spark, monkeypatch):
+    rng = random.Random(4)
+    bits = ["a", "X", "7", "É", "é", "\u2163", "\u24d0", "\u24b6", "\u01c5", "ß", "\u03a3", "\u03c2", " ", " ", " ", "\t", "\n", "\n", "-", "|", "#", "!", "?", "click here", "Log In"]
+    weights = [4] * 19 + [0.2] * 6
+    texts = ["".join(rng.choices(bits, weights, k=rng.randrange(1, 25))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    quick = judge_documents(df, cleaned=True).orderBy("doc_id").collect()
+    monkeypatch.setattr(quality_rules, "_suspect", lambda *_: F.lit(True))
+    assert quick == judge_documents(df, cleaned=True).orderBy("doc_id").collect() and any(r["lost_words"] for r in quick)

@@ -57,6 +57,11 @@ def _any(c: Column, phrases) -> Column:
     return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(c, p))
 
 
+def _shouts(line: Column, low: Column) -> Column:
+    """Upper case throughout, with a character that has a lower case."""
+    return (line == F.upper(line)) & (line != low)
+
+
 def _line_fails(x: Column) -> Column:
     """A verdict on one line by itself; fields: line, low (lower case), n (words)."""
     line, n = x["line"], x["n"]
@@ -65,14 +70,14 @@ def _line_fails(x: Column) -> Column:
         over(_count(line, "|"), MAX_BAR_PERCENT)
         | over(_count(line, "#*$%&<>"), MAX_SYMBOL_PERCENT)
         | over(_count(line, ("!!", "??")) / 2, MAX_SYMBOL_PERCENT)
-        | ((line == F.upper(line)) & (line != x["low"]))
+        | _shouts(line, x["low"])
     )
     return ((n >= MIN_LINE_WORDS) & alone) | _any(x["low"], BOILERPLATE)
 
 
-def _suspect(text: Column, low: Column) -> Column:
-    """False for texts in which no line can fail by itself: they have none of the signs that rules look for."""
-    return text.rlike(r"[#*$%&|<>]|!!|\?\?|\p{Lu}\P{Ll}{4}") | _any(low, BOILERPLATE)
+def _suspect(text: Column, low: Column, lines: Column) -> Column:
+    """False for texts in which no line can fail by itself: each rule implies one of these signs."""
+    return text.rlike(r"[#*$%&|<>]|!!|\?\?") | _any(low, BOILERPLATE) | F.exists(lines, lambda x: _shouts(x, F.lower(x)))
 
 
 def _window(words: Column, i: Column) -> Column:
@@ -138,7 +143,7 @@ def judge_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         (F.char_length("text") - blanks).cast("long").alias("word_chars"),
         _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"), n_dup.alias("n_dup_lines"),
         F.coalesce(_covered(F.col("places")), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.when((n_dup > 0) | _suspect(F.col("text"), F.col("low_text")), judged).alias("judged"),
+        F.when((n_dup > 0) | _suspect(F.col("text"), F.col("low_text"), F.col("own")), judged).alias("judged"),
     )
     left = counted.select("*", F.filter("judged", lambda x: ~_line_fails(x)).alias("left"))
     lost = F.coalesce(n - F.aggregate("left", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long"))
