@@ -55,6 +55,17 @@ def test_overlaps_and_short_items(spark):
     assert measured(df, bench, block_words=20) == plain(rows, items)
 
 
+def test_repeated_items_count_once(spark):
+    """A repeated row, and one id on two rows that both occur, in one block and in several."""
+    first, second = " ".join(f"a{i}" for i in range(15)), " ".join(f"b{i}" for i in range(15))
+    items = [("x", first), ("x", first), ("y", second), ("x", second)]
+    rows = [(1, f"so {first} and {second}"), (2, first), (3, "nothing of them")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    expected = plain(rows, items)
+    assert [r[3] for r in expected] == [2, 1, 0]
+    assert measured(df, bench) == expected and measured(df, bench, block_words=20) == expected
+
+
 def test_odd_texts(spark, odd, empty):
     bench = spark.createDataFrame([(1, "word " * 20), (None, "tie tie"), (2, None)], "item_id long, text string")
     rows = [(None if i == 3 else i // 2, t) for i, t in enumerate(ODD_TEXTS)]

@@ -177,7 +177,7 @@ def _hits(shared):
                     spans, items = automaton.read(words)
                     out["n_words"].append(len(words))
                     out["spans"].append([x for s in covered(spans) for x in s])
-                    out["items"].append([automaton.names[i] for i in items])
+                    out["items"].append(sorted({automaton.names[i] for i in items}))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["spans"], pa.list_(pa.int64())),
                 pa.array(out["items"], pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
@@ -188,7 +188,7 @@ def _hits(shared):
 def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
               item_text_col: str = "text", block_words: int = BLOCK_WORDS, window: int = WINDOW,
               workspace: Workspace | None = None) -> DataFrame:
-    """Per row: id, n_words, spans (flat list of word positions from, to), items (ids as strings).
+    """Per row: id, n_words, spans (flat list of word positions from, to), items (distinct ids as strings).
 
     Null and empty texts have no words; repeated rows and null ids come back as they are; empty tables
     give no rows or no hits; other columns are not read.
