@@ -11,6 +11,7 @@ from tidyshelf.llm.decontaminate import find_hits, hit_columns
 from tidyshelf.llm.language_model import score_held_out
 from tidyshelf.llm.ngram_join import jaccard_components
 from tidyshelf.llm.packing import pack_documents
+from tidyshelf.llm.periodic_runs import periodic_runs
 from tidyshelf.llm.quality_rules import judge_documents
 from tidyshelf.llm.suffix_dedup import measure_repeats
 from tidyshelf.llm.token_counts import count_tokens
@@ -74,9 +75,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES = {
-    "op1_suffix_dedup": op1_suffix_dedup,
-    "op2_language_model": op2_language_model, "op3_packing": op3_packing, "op4_cotraining": op4_cotraining, "op5_quality_rules": op5_quality_rules, "op6_warc": op6_warc,
+    "op1_suffix_dedup": op1_suffix_dedup, "op2_language_model": op2_language_model, "op3_packing": op3_packing,
+    "op4_cotraining": op4_cotraining, "op5_quality_rules": op5_quality_rules, "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity,
-    "op10_ngram_join": op10_ngram_join,
+    "op10_ngram_join": op10_ngram_join, "op13_periodic_runs": op13_periodic_runs,
 }
