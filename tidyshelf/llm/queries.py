@@ -13,6 +13,7 @@ from tidyshelf.llm.ngram_join import jaccard_components
 from tidyshelf.llm.packing import pack_documents
 from tidyshelf.llm.periodic_runs import periodic_runs
 from tidyshelf.llm.quality_rules import judge_documents
+from tidyshelf.llm.spelling import spelling_variants
 from tidyshelf.llm.suffix_dedup import measure_repeats
 from tidyshelf.llm.token_counts import count_tokens
 from tidyshelf.llm.toxicity import score_toxicity
@@ -75,6 +76,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), thinned=31)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
 
@@ -83,5 +88,6 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup, "op2_language_model": op2_language_model, "op3_packing": op3_packing,
     "op4_cotraining": op4_cotraining, "op5_quality_rules": op5_quality_rules, "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity,
-    "op10_ngram_join": op10_ngram_join, "op13_periodic_runs": op13_periodic_runs,
+    "op10_ngram_join": op10_ngram_join, "op11_spelling_variants": op11_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }
