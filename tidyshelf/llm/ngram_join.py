@@ -197,7 +197,7 @@ def _buckets(table: pa.Table) -> pa.Table:
     return pa.table({"sig": sig[keep].view(np.int64), "node": node[keep], "size": count[inverse][keep].astype(np.int64)})
 
 
-def _linked(size: int, percent: int):
+def linked_pairs(size: int, percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, kept = Hashes(), {}
 
@@ -232,7 +232,7 @@ def least_shared(differences: int, size: int, leader: int, percent: int = PERCEN
     return max(1, (differences * high + (leader - size) * low) // (2 * high) + 1)
 
 
-def _differing(size: int, percent: int):
+def differences(size: int, percent: int):
     """Of each node and its leader: whether they link, and every shingle that only one of them has."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, kept = Hashes(), {}
@@ -287,7 +287,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def links(pairs: DataFrame) -> DataFrame:
         left = bodies.select(F.col("node").alias("a"), F.col("body").alias("p"))
         right = bodies.select(F.col("node").alias("b"), F.col("body").alias("q"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(_linked(size, percent), "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(linked_pairs(size, percent), "a long, b long")
 
     leaders = buckets.join(weights, "node").groupBy("sig").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"))
     led = store.freeze(leaders, "leaders")
@@ -305,7 +305,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parted = buckets.join(still, "sig", "left_semi").join(led, "sig").filter("node <> leader").select("leader", "node").distinct()
     both = parted.join(bodies.select(F.col("node").alias("leader"), F.col("body").alias("p")), "leader").join(
         bodies.select("node", F.col("body").alias("q")), "node").select("leader", "node", "p", "q")
-    apart = store.freeze(both.mapInArrow(_differing(size, percent), "leader long, node long, linked boolean, needed long, element long"), "apart")
+    apart = store.freeze(both.mapInArrow(differences(size, percent), "leader long, node long, linked boolean, needed long, element long"), "apart")
     rarity = apart.groupBy("leader", "element").agg(F.count("*").alias("times"))
     rarest = F.row_number().over(Window.partitionBy("leader", "node").orderBy("times", "element"))
     sought = placed(apart.join(rarity.filter("times > 1"), ["leader", "element"], "left").withColumn("times", F.coalesce("times", F.lit(1))).withColumn(

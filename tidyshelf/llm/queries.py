@@ -9,6 +9,7 @@ from tidyshelf.llm.common import table
 from tidyshelf.llm.cotraining import score_quality
 from tidyshelf.llm.decontaminate import find_hits, hit_columns
 from tidyshelf.llm.language_model import score_held_out
+from tidyshelf.llm.minmax_dedup import near_duplicates
 from tidyshelf.llm.ngram_join import jaccard_components
 from tidyshelf.llm.packing import pack_documents
 from tidyshelf.llm.periodic_runs import periodic_runs
@@ -80,6 +81,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), thinned=31)
 
 
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
 
@@ -89,5 +94,5 @@ QUERIES = {
     "op4_cotraining": op4_cotraining, "op5_quality_rules": op5_quality_rules, "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join, "op11_spelling_variants": op11_spelling_variants,
-    "op13_periodic_runs": op13_periodic_runs,
+    "op12_minmax_dedup": op12_minmax_dedup, "op13_periodic_runs": op13_periodic_runs,
 }
