@@ -40,15 +40,30 @@ def test_verdict_follows_the_labels(spark):
     assert rows and all(r["kept"] == (r["quality"] == 1) for r in rows)
 
 
+#: Lines whose windows of three words are all different.
+GOOD = "\n".join(f"A{i} plain{i} sentence number {i} that{i} says{i} something{i} new{i} about item {i * 7}." for i in range(8))
+
+
 def test_failed_lines_go(spark):
-    good = "\n".join(f"A plain sentence number {i} that says something new about item {i * 7}." for i in range(8))
     lines = {"menu": "Home | News | Sport | Shop", "shout": "BUY THIS THING NOW", "marks": "wow!! so!! cheap!!", "litter": "a### b*** c$$$ d%%%", "site": "Read more about us"}
-    df = spark.createDataFrame([(n, f"{good}\n{x}\n{x}") for n, x in lines.items()] + [("clean", good)], "doc_id string, text string")
+    df = spark.createDataFrame([(n, f"{GOOD}\n{x}\n{x}") for n, x in lines.items()] + [("clean", GOOD)], "doc_id string, text string")
     for r in judge_documents(df, cleaned=True).collect():
-        assert r["clean_text"] == good and r["kept"] and (r["lost_words"] > 0) == (r["doc_id"] != "clean")
-    flood = spark.createDataFrame([(1, good + "\n" + "\n".join(f"a{i} | b{i} | c{i} | d{i}" for i in range(40)))], "doc_id long, text string")
+        assert r["clean_text"] == GOOD and r["kept"] and (r["lost_words"] > 0) == (r["doc_id"] != "clean")
+    flood = spark.createDataFrame([(1, GOOD + "\n" + "\n".join(f"a{i} | b{i} | c{i} | d{i}" for i in range(40)))], "doc_id long, text string")
     row = judge_documents(flood).first()
     assert not row["base_failed"] and not row["kept"]
+    prose = f"{GOOD}\nHe had to log in again before the page would show him what he had come for."
+    assert judge_documents(spark.createDataFrame([(1, prose)], "doc_id long, text string"), cleaned=True).first()["clean_text"] == prose
+
+
+def test_filters_and_joins_do_not_open_the_plan(spark):
+    """A filter on the verdict leaves every stage as it is."""
+    docs = table(spark, SF, "documents")
+    plain_plan, size = judge_documents(docs), lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    for df in (plain_plan.filter("kept"), plain_plan.filter("NOT base_failed AND lost_words = 0"), docs.join(plain_plan.filter("kept"), "doc_id")):
+        assert size(df) < 1.5 * size(plain_plan)
+    rows = {r["doc_id"] for r in plain_plan.collect() if r["kept"]}
+    assert {r["doc_id"] for r in plain_plan.filter("kept").collect()} == rows
 
 
 def test_late_and_uncommon_capitals_shout(spark):
