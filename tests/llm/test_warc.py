@@ -6,6 +6,7 @@ import pytest
 
 from tests.conftest import SF
 from tidyshelf.llm.common import table
+from tidyshelf.llm.queries import op6_warc
 from tidyshelf.llm.warc import read_records, read_warc, record_bytes, write_warc
 
 
@@ -20,7 +21,7 @@ def plain(rows, least=100):
         body = (html or "").encode()
         to = first.get(body) if i is not None else None
         revisit = to is not None and to != i
-        out.append(("" if i is None else str(i), len(body), hashlib.sha256(body).hexdigest(), "revisit" if revisit else "response", str(to) if revisit else None))
+        out.append((None if i is None else str(i), len(body), hashlib.sha256(body).hexdigest(), "revisit" if revisit else "response", str(to) if revisit else None))
     return sorted(out, key=str)
 
 
@@ -57,3 +58,20 @@ def test_one_member_per_record_and_broken_archives():
                 gzip.compress(text.replace(b"Length: 4", b"Length: 400")), gzip.compress(b"no record")):
         with pytest.raises(ValueError):
             list(read_records(io.BytesIO(bad)))
+
+
+def test_query_with_odd_ids(spark, tmp_path):
+    """The query itself, over null and repeated ids and columns that it does not read."""
+    body = "é" * 80
+    rows = [(5, body), (3, body), (3, body), (None, body), (None, None), (4, ""), (7, "short")]
+    spark.createDataFrame([(i, None, h, "x", 1) for i, h in rows], "page_id long, url string, html string, digest string, record_id int").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op6_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    text = lambda x: None if x is None else str(x)
+    assert sorted(((text(r[0]), *r[1:4], text(r[4])) for r in got), key=str) == plain(rows)
+
+
+def test_ids_of_any_characters(spark, tmp_path):
+    body = "z" * 120
+    ids = ["a\r\nWARC-Type: x", "", "<b>", "ü %41", None]
+    df = spark.createDataFrame([(i, None, body) for i in ids], "page_id string, url string, html string")
+    assert measured(spark, df, tmp_path) == plain([(i, body) for i in ids])

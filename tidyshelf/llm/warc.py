@@ -11,6 +11,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,18 +39,29 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def record_bytes(record_type: str, record_id: str, uri: str | None, digest: str, payload: bytes, length: int,
+def _urn(record_id: str | None) -> str:
+    return "urn:no-page" if record_id is None else f"urn:page:{quote(record_id, safe='')}"
+
+
+def _id_of(urn: str | None) -> str | None:
+    return unquote(urn[len("<urn:page:"):-1]) if urn and urn.startswith("<urn:page:") else None
+
+
+def record_bytes(record_type: str, record_id: str | None, uri: str | None, digest: str, payload: bytes, length: int,
                  refers_to: str | None = None) -> bytes:
-    """One record as its own gzip member. A revisit has an empty block and states the payload's length."""
+    """One record as its own gzip member. A revisit has an empty block and states the payload's length.
+
+    Ids are percent-encoded; a null id has a name that no id gets.
+    """
     head = [
-        "WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{record_id}>",
+        "WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <{_urn(record_id)}>",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: text/html; charset=utf-8",
     ]
     if uri is not None:
         head.append("WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+        head += [f"WARC-Refers-To: <{_urn(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
                  f"X-Payload-Length: {length}"]
     block = b"" if refers_to is not None else payload
     head.append(f"Content-Length: {len(block)}")
@@ -115,10 +127,9 @@ def read_records(source) -> Iterator[dict]:
         revisit = head["warc-type"] == "revisit"
         if not revisit and hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"payload digest of {head['warc-record-id']} does not match")
-        own = lambda k: head[k].removeprefix("<urn:page:").removesuffix(">") if k in head else None
         yield {
-            "record_type": head["warc-type"], "record_id": own("warc-record-id"), "target_uri": head.get("warc-target-uri"),
-            "refers_to": own("warc-refers-to"), "payload_digest": digest, "payload": None if revisit else payload,
+            "record_type": head["warc-type"], "record_id": _id_of(head.get("warc-record-id")), "target_uri": head.get("warc-target-uri"),
+            "refers_to": _id_of(head.get("warc-refers-to")), "payload_digest": digest, "payload": None if revisit else payload,
             "payload_bytes": int(head["x-payload-length"]) if revisit else len(payload),
         }
 
@@ -158,8 +169,8 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     """Write a record per row into archives below ``folder``; returns the manifest: path, records, bytes.
 
     Of rows with equal payloads of at least ``least`` bytes, that with the smallest id is a response and
-    the others revisit it. Null payloads are empty; rows with a null id are always responses and are
-    never referred to; rows that repeat the smallest id are responses too. An empty table writes no archive.
+    the others revisit it. Null payloads are empty; rows with a null id are always responses, are never
+    referred to, and are read back with a null id; rows that repeat the smallest id are responses too. An empty table writes no archive.
     """
     store = workspace or Workspace(df.sparkSession)
     rows = df.select(
@@ -174,7 +185,7 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     )
     revisit = F.col("first").isNotNull() & (F.col("id") != F.col("first"))
     records = rows.join(firsts, "digest", "left").select(
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("record_id"),
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("id").cast("string").alias("record_id"),
         "url", "digest", "html", F.when(revisit, F.col("first").cast("string")).alias("refers_to"),
     )
     return store.freeze(records.mapInArrow(_write(folder, archive_bytes), "path string, records long, bytes long"), "manifest")
