@@ -13,6 +13,7 @@ from tidyshelf.config import PipelineConfig
 from tidyshelf.functions.text import clean_column
 from tidyshelf.operators import canonical as ca
 from tidyshelf.operators import dedup as de
+from tidyshelf.operators import distribution as di
 from tidyshelf.operators import responses as rs
 from tidyshelf.operators import summary as su
 from tidyshelf.operators import validation as va
@@ -87,6 +88,42 @@ def test_analytics_tables(spark):
     assert fast["median_price"].first()[0] == pytest.approx(charts["median_price"].first()[0], rel=0.05)
 
 
+def _rounded(df):
+    row = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+    return [row(r) for r in df.collect()]
+
+
+def test_analytics_equal_the_operators_and_read_inputs_once(spark):
+    """Charts from the table of counts are what the operators make of the rows, nulls and one row included."""
+    rows = [(c, b, a, u, p, x, None) for c, b, a, u, p, x in [
+        ("TV", "LG", "In Stock", "INR", 10, 0.5), ("TV", "LG", "In Stock", "INR", 10, 0.9), ("TV", None, "Soon", None, None, 0.4),
+        ("Mobile", "Vivo", "Unknown", "USD", 2**53 + 1, None), (None, "vivo", None, "XXX", 7, 1.0), ("TV", "Sony", "In Stock", "INR", 900, 0.75)]]
+    clean = spark.createDataFrame(rows, "category string, brand string, availability string, currency string, price long, confidence double, error_type string")
+    tagged = clean.select("error_type").unionByName(spark.createDataFrame([("x",), ("x",), ("y",)], "error_type string"))
+    raw = spark.createDataFrame([("aa",), ("aa",), (None,), (None,), ("b",), ("",)], "raw_description string")
+    for part in (clean, clean.limit(0)):
+        with Workspace(spark) as work:
+            inputs = [work.freeze(df, "input") for df in (tagged, part, raw, raw.filter("raw_description IS NOT NULL"))]
+            t, c, r, kept = inputs
+            charts = analytics(t, c, r, preprocessed=kept, threshold=0.6, workspace=work)
+            lengths = r.selectExpr("char_length(raw_description) AS length")
+            errors = t.filter("error_type IS NOT NULL")
+            want = {
+                "run_summary": su.run_summary(t), "avg_confidence": su.average_confidence(c), "category_counts": su.value_counts(c, "category"),
+                "availability_counts": su.value_shares(c, "availability"), "error_counts": su.value_counts(errors, "error_type"),
+                "top_brands": su.top_k(c, "brand", 15), "success_failure": su.success_failure(t), "histogram_price": di.histogram(c, "price", 30),
+                "histogram_confidence": di.histogram(c, "confidence", 20), "box_stats": di.box_stats(c), "median_price": di.median(c, "price"),
+                "below_threshold": su.below_threshold(c, 0.6), "enum_conformance": va.enum_conformance(c), "histogram_length": di.histogram(lengths, "length", 40),
+                "describe_length": di.describe(lengths, "length"), "duplicates": de.duplicate_report(r, "raw_description"),
+                "stage_counts": su.stage_counts(r, kept, t)}
+            assert list(charts) == list(want)
+            for name, expected in want.items():
+                assert charts[name].columns == expected.columns, name
+                assert sorted(_rounded(charts[name]), key=str) == sorted(_rounded(expected), key=str), name
+                read = set(charts[name].inputFiles())
+                assert read and not read & {f for df in inputs for f in df.inputFiles()}, name
+
+
 def test_frozen_tables_are_written_below_the_shared_folder(spark):
     with Workspace(spark) as work:
         frozen = work.freeze(spark.range(5), "x")
