@@ -33,12 +33,16 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("--columns", help="comma-separated input columns, in order")
     parser.add_argument("--scan-partitions", type=int)
     parser.add_argument("--extractor-partitions", type=int)
+    parser.add_argument("--ledger", help="folder that records answers; started again, the job asks for the others only")
+    parser.add_argument("--in-flight", type=int, default=1, help="open calls per task")
+    parser.add_argument("--calls-per-second", type=float, help="calls that may start per second, in all tasks")
     parser.add_argument("--split-lines", action="store_true", help="no CSV record spans lines: files may be split")
     a = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("tidyshelf").getOrCreate()
     run_pipeline(spark, PipelineConfig(
         a.input, a.output, a.errors, a.fmt, a.limit, a.retries, a.threshold, a.template, a.extractor_partitions, a.output_format,
         multiline=not a.split_lines, columns=tuple(a.columns.split(",")) if a.columns else None, scan_partitions=a.scan_partitions,
+        ledger_path=a.ledger, in_flight=a.in_flight, calls_per_second=a.calls_per_second,
     ), named(a.extractor)).show()
 
 

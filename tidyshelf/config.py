@@ -13,7 +13,9 @@ class PipelineConfig:
     the extractor at once (``None`` keeps the partitions as they are). ``waits`` are the seconds
     before the second, third, ... attempt. ``multiline=False`` lets Spark split CSV files whose records
     do not span lines. ``columns`` names the input's columns in order, which saves JSON files a pass.
-    ``scan_partitions`` deals the input over so many tasks before cleaning.
+    ``scan_partitions`` deals the input over so many tasks before cleaning. ``ledger_path`` is a folder in
+    which answers are recorded as they come, so that a job that is started again asks for the others only;
+    ``in_flight`` calls are open per task, and ``calls_per_second`` may start in all.
     """
 
     input_path: str
@@ -31,3 +33,6 @@ class PipelineConfig:
     multiline: bool = True
     columns: tuple[str, ...] | None = None
     scan_partitions: int | None = None
+    ledger_path: str | None = None
+    in_flight: int = 1
+    calls_per_second: float | None = None

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator, Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from importlib import resources
-from typing import NamedTuple
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidyshelf.functions.json_text import extract_json_object
 from tidyshelf.functions.price import extract_price
+from tidyshelf.operators.asking import LEDGER_SCHEMA, Ledger, Prompt, asking, key_of
 from tidyshelf.schemas import ATTEMPT_SCHEMA
 from tidyshelf.storage import Workspace, workspace_for
 
@@ -41,11 +40,14 @@ def build_prompts(df: DataFrame, template: str, column: str = "raw_description")
 
 def apply_extractor(
     prompts: DataFrame,
-    extractor: Callable[[NamedTuple], str | None],
+    extractor: Callable[[Prompt], str | None],
     partitions: int | None = None,
     workspace: Workspace | None = None,
     retry_limit: int = 3,
     waits: Sequence[float] = (1.0, 2.0),
+    ledger: Ledger | None = None,
+    in_flight: int = 1,
+    rate: float | None = None,
 ) -> DataFrame:
     """Ask the caller's extractor for each row, up to ``retry_limit`` times, and freeze the answers.
 
@@ -54,13 +56,25 @@ def apply_extractor(
     another type is a mistake in the extractor and ends the job. Rows without a JSON object in their
     answer are asked again in the next round, after a wait once per task. Rounds are written: asking a
     model again could give other answers. Returns ``(id, attempt, raw_output)``.
+
+    Each task keeps up to ``in_flight`` calls open, from threads of its own. ``rate`` is the calls that may
+    start per second, in all tasks together: each of the round's tasks gets an equal share. With a ``ledger``
+    answers are recorded while they come, prompts on record are not asked again, and equal prompts are asked
+    once, under the smallest of their ids.
     """
     store = workspace_for(prompts, workspace)
+    tasks = partitions or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = partitions or rate or ledger
     todo, answered = prompts.select("id", "raw_description", "prompt"), None
     for attempt in range(1, retry_limit + 1):
-        wait = waits[min(attempt - 2, len(waits) - 1)] if attempt > 1 and waits else 0.0
-        spread = todo.repartition(partitions) if partitions else todo
-        replies = store.freeze(spread.mapInPandas(_asking(extractor, attempt, wait), ATTEMPT_SCHEMA), "attempts")
+        pause = waits[min(attempt - 2, len(waits) - 1)] if attempt > 1 and waits else 0.0
+        share = rate / tasks if rate else None
+        if ledger is None:
+            spread = todo.repartition(tasks) if dealt else todo
+            replies = store.freeze(spread.mapInPandas(asking(extractor, attempt, pause, in_flight, share), ATTEMPT_SCHEMA), "attempts")
+        else:
+            replies = _recorded(todo, ledger, attempt, tasks, store, lambda folder: asking(
+                extractor, attempt, pause, in_flight, share, "key", folder, ledger.commit_rows))  # noqa: B023
         answered = replies if answered is None else answered.unionByName(replies)
         if attempt < retry_limit:
             failed = replies.filter(extract_json_object(F.col("raw_output")).isNull()).select("id")
@@ -70,24 +84,19 @@ def apply_extractor(
     return answered
 
 
-def _asking(extractor: Callable, attempt: int, wait: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for i, batch in enumerate(batches):
-            if wait and not i:
-                time.sleep(wait)
-            rows = []
-            for row in batch.assign(attempt=attempt).itertuples(index=False, name="Prompt"):
-                try:
-                    answer = extractor(row)
-                except Exception:  # noqa: BLE001 - a failed call is data
-                    answer = None
-                if answer is not None and not isinstance(answer, str):
-                    raise TypeError(f"the extractor returned {type(answer).__name__}, not a text or None")
-                rows.append((int(row.id), attempt, answer))
-            frame = pd.DataFrame(rows, columns=["id", "attempt", "raw_output"])
-            yield frame.astype({"id": "int64", "attempt": "int32", "raw_output": "object"})
-
-    return run
+def _recorded(todo: DataFrame, ledger: Ledger, attempt: int, tasks: int, store: Workspace, task: Callable) -> DataFrame:
+    """One round with a ledger: answers on record, and the others by asking each distinct prompt once."""
+    spark = todo.sparkSession
+    told = ledger.answers(spark).filter(F.col("attempt") == attempt).select("key", "raw_output", F.lit(True).alias("_told"))
+    looked_up = store.freeze(todo.withColumn("key", key_of()).join(told, "key", "left"), "told")
+    open_ = looked_up.filter("_told IS NULL")
+    asked = open_.groupBy("key").agg(F.min(F.struct("id", "raw_description", "prompt")).alias("_p")).select("key", "_p.*")
+    folder = f"{ledger.qualified(spark)}/round-{uuid.uuid4().hex}"
+    # a task that starts again gets the same keys, and its own record
+    fresh = store.freeze(asked.repartition(tasks, "key").mapInPandas(task(folder), LEDGER_SCHEMA), "asked")
+    columns = ["id", F.lit(attempt).cast("int").alias("attempt"), "raw_output"]
+    return store.freeze(
+        looked_up.filter("_told").select(*columns).unionByName(open_.select("id", "key").join(fresh, "key").select(*columns)), "attempts")
 
 
 def resolve_attempts(attempts: DataFrame, limit: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidyshelf.config import PipelineConfig
 from tidyshelf.functions.text import clean_column
+from tidyshelf.operators.asking import Ledger
 from tidyshelf.operators.canonical import postprocess
 from tidyshelf.operators.columns import (
     TARGET,
@@ -166,7 +167,9 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig, extractor: Callable)
         picked = pick_description_column(source).select(TARGET, ORDER)
         raw = preprocess(picked, workspace=work, scan_partitions=cfg.scan_partitions, limit=cfg.limit)
         prompts = build_prompts(to_raw(raw), template)
-        attempts = apply_extractor(prompts, extractor, cfg.extractor_partitions, work, cfg.retry_limit, cfg.waits)
+        attempts = apply_extractor(
+            prompts, extractor, cfg.extractor_partitions, work, cfg.retry_limit, cfg.waits,
+            Ledger(cfg.ledger_path) if cfg.ledger_path else None, cfg.in_flight, cfg.calls_per_second)
         done = _finish(raw, attempts, cfg.confidence_threshold, cfg.retry_limit, cfg.strict_compat, work)
         result = export_results(
             done.clean, done.errors, cfg.output_path, cfg.error_path, cfg.output_format
