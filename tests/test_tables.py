@@ -10,7 +10,8 @@ from tidyshelf.operators import dedup as de
 from tidyshelf.operators import ordering as od
 from tidyshelf.schemas import CLEAN_COLUMNS, ERROR_COLUMNS, CLEAN_SCHEMA, ERROR_SCHEMA
 from tidyshelf.sources.readers import read_listings, require_rows
-from tidyshelf.sources.writers import export_results, write_clean, write_errors, write_jsonl
+from tidyshelf.sources.publish import read_published
+from tidyshelf.sources.writers import export_results, publish_results, write_clean, write_errors, write_jsonl
 
 
 def table(df):
@@ -87,6 +88,84 @@ def test_export_counts(spark, tmp_path):
     assert (nothing.total, nothing.success_rate) == (0, 0.0)
 
 
+def _broken(spark, n):
+    """A table whose last row cannot be computed."""
+    return spark.range(n).withColumn("brand", F.when(F.col("id") < n - 1, F.lit("new")).otherwise(F.raise_error(F.lit("no more"))))
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_failing_export_leaves_both_old_tables(spark, tmp_path, fmt):
+    c, e = str(tmp_path / "c"), str(tmp_path / "e")
+    read = lambda p: sorted(r["id"] for r in (spark.read.parquet(p) if fmt == "parquet" else read_listings(spark, p, fmt="csv").withColumn("id", F.col("id").cast("long"))).collect())
+    export_results(spark.range(3), spark.range(1), c, e, fmt)
+    for clean, errors in ((spark.range(9), _broken(spark, 4)), (_broken(spark, 4), spark.range(9))):
+        with pytest.raises(Exception, match="no more"):
+            export_results(clean, errors.withColumn("raw_description", F.col("brand")) if "brand" in errors.columns else errors, c, e, fmt)
+        assert read(c) == [0, 1, 2] and read(e) == [0] and sorted(p.name for p in tmp_path.iterdir()) == ["c", "e"]
+    with pytest.raises(Exception, match="no more"):
+        write_clean(_broken(spark, 3), c, fmt)
+    assert read(c) == [0, 1, 2]
+    export_results(spark.range(5), spark.range(2), c, e, fmt)
+    assert len(read(c)) == 5 and len(read(e)) == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["c", "e"]
+
+
+@pytest.mark.parametrize("steps", range(5))
+def test_export_cut_short_is_finished(spark, tmp_path, monkeypatch, steps):
+    """The job dies after so many renames; the next look at the tables finds both new ones."""
+    from tidyshelf.sources import publish
+
+    c, e = str(tmp_path / "c"), str(tmp_path / "e")
+    export_results(spark.range(3), spark.range(1), c, e, "parquet")
+    done, rename = [], publish.Files.rename
+
+    def dying(self, source, target):
+        if len(done) >= steps:
+            raise KeyboardInterrupt
+        rename(self, source, target)
+        done.append(target)
+
+    with monkeypatch.context() as m:
+        m.setattr(publish.Files, "rename", dying)
+        if steps < 4:
+            with pytest.raises(KeyboardInterrupt):
+                export_results(spark.range(9), spark.range(8), c, e, "parquet")
+        else:
+            export_results(spark.range(9), spark.range(8), c, e, "parquet")
+    assert publish.recover(spark, c, e) == (steps < 4)
+    assert spark.read.parquet(c).count() == 9 and spark.read.parquet(e).count() == 8
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["c", "e"]
+
+
+def test_published_runs(spark, tmp_path):
+    """Both tables become current together; a failing run changes nothing, and readers of the last run go on."""
+    root = str(tmp_path / "r")
+    publish_results(spark.range(3), spark.range(1), root)
+    first = read_published(spark, root)
+    with pytest.raises(Exception, match="no more"):
+        publish_results(spark.range(9), _broken(spark, 4).withColumn("raw_description", F.col("brand")), root)
+    assert [read_published(spark, root)[n].count() for n in ("clean", "errors")] == [3, 1]
+    publish_results(spark.range(5), spark.range(2), root)
+    assert [read_published(spark, root)[n].count() for n in ("clean", "errors")] == [5, 2]
+    assert first["clean"].count() == 3 and read_published(spark, root)["clean"].columns == CLEAN_COLUMNS
+    publish_results(spark.range(1), spark.range(1), root)
+    assert len([p for p in (tmp_path / "r").iterdir() if p.name.startswith("run-")]) == 2
+
+
+def test_repeated_append_counts_once(spark, tmp_path):
+    path = str(tmp_path / "j")
+    rows = lambda: sorted((r["run"], r["id"]) for r in spark.read.schema("id long, run string").json(path).collect())
+    for _ in range(2):
+        write_jsonl(spark.range(3), path, run="2024-01-01 a/b")
+    write_jsonl(spark.range(2), path, run="other")
+    assert rows() == [("2024-01-01 a/b", i) for i in range(3)] + [("other", i) for i in range(2)]
+    with pytest.raises(Exception, match="no more"):
+        write_jsonl(_broken(spark, 4), path, run="other")
+    write_jsonl(spark.range(1), path, run="2024-01-01 a/b")
+    assert rows() == [("2024-01-01 a/b", 0), ("other", 0), ("other", 1)]
+    write_jsonl(spark.range(0), path, run="other")
+    assert rows() == [("2024-01-01 a/b", 0)]
+
+
 def test_column_detection(spark):
     df = spark.createDataFrame([("1", " ", "x", None, "y")], "sku STRING, Title STRING, Brand_Name STRING, memo STRING, zeta STRING")
     assert co.detect_description_columns(df) == ["Brand_Name", "sku", "zeta"]
