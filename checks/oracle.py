@@ -95,6 +95,7 @@ add("errors_round_trip", f"""{A} SELECT CAST(listing_id AS VARCHAR) AS id, '' AS
  CAST(attempt AS VARCHAR) AS retry_count, coalesce(raw_output, '') AS llm_raw_output FROM attempts""")
 add("jsonl_round_trip", f"""{A} SELECT coalesce(raw_output, '') AS z_text, CAST(listing_id AS VARCHAR) AS listing_id,
  CAST(attempt AS VARCHAR) AS attempt FROM attempts""")
+add("jsonl_repeated_runs", f"""{A} SELECT listing_id, attempt, raw_output, CASE WHEN attempt = 1 THEN 'first' ELSE 'others' END AS run FROM attempts""")
 add("detect_columns", """WITH n AS (SELECT count(*) AS rows_seen FROM customer),
  seen AS (SELECT bool_or(trim(c_name) <> '') AS a, bool_or(c_custkey IS NOT NULL) AS b, bool_or(trim(c_mktsegment) <> '') AS c FROM customer)
  SELECT rows_seen, ord, column_name FROM n, (SELECT 0 AS ord, 'c_name' AS column_name FROM seen WHERE a
@@ -219,6 +220,8 @@ def echoed(source: str, id_col: str, text: str) -> str:
 
 add("apply_extractor", f"{L} {echoed('listings', 'listing_id', 'raw_description')}")
 
+add("extractor_ledger", f"{L} {echoed('(SELECT listing_id, CAST(listing_id AS VARCHAR) || chr(32) || raw_description AS d FROM listings)', 'listing_id', 'd')}")
+
 # ---- validation ------------------------------------------------------------------------------
 def answered(tried: str) -> str:
     return f"""{A}, tried AS ({tried}), {resolved('tried', 3)},
@@ -375,6 +378,7 @@ add("listing_files_clean", f"{_echo_job} SELECT * FROM clean")
 # ---- analytics -------------------------------------------------------------------------------
 add("run_summary", f"{TAGGED} {SUMMARY}")
 add("avg_confidence", f"{CLEAN} SELECT round(coalesce(avg(confidence), 0), 6) AS avg_confidence FROM clean")
+add("published_results", f"""{TAGGED} SELECT id, raw_description, CASE WHEN error_type IS NULL THEN 'clean' ELSE 'errors' END AS table_name FROM tagged""")
 add("category_counts", f"{CLEAN} SELECT category, count(*) AS count FROM clean GROUP BY 1")
 add("segment_counts", "SELECT c_mktsegment, count(*) AS count FROM customer GROUP BY 1")
 add("availability_counts", f"{CLEAN} SELECT availability, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS percent FROM clean GROUP BY 1")

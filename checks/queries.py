@@ -22,13 +22,15 @@ from tidyshelf.operators import ordering as od
 from tidyshelf.operators import responses as rs
 from tidyshelf.operators import summary as su
 from tidyshelf.operators import validation as va
+from tidyshelf.operators.asking import Ledger
 from tidyshelf.plans import jobs
 from tidyshelf.plans.analytics import analytics
 from tidyshelf.config import PipelineConfig
 from tidyshelf.sources.readers import read_listings
-from tidyshelf.sources.writers import write_clean, write_errors, write_jsonl
+from tidyshelf.sources.publish import read_published
+from tidyshelf.sources.writers import publish_results, write_clean, write_errors, write_jsonl
 from tidyshelf.schemas import CLEAN_SCHEMA, ERROR_SCHEMA, PRODUCT_FIELDS
-from tidyshelf.storage import prepare_session, shared_folder
+from tidyshelf.storage import Workspace, prepare_session, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,6 +150,30 @@ def jsonl_round_trip(spark, d):
     return read_listings(spark, path, fmt="jsonl").drop("src_ord")
 
 
+@query
+def jsonl_repeated_runs(spark, d):
+    """Two runs, the first of which is repeated: its rows are there once."""
+    path = f"{scratch(spark)}/rows.jsonl"
+    rows = view(spark, d, "attempts").select("listing_id", "attempt", "raw_output")
+    write_jsonl(rows.filter(F.col("attempt") == 1), path, run="first")
+    write_jsonl(rows.filter(F.col("attempt") > 1), path, run="others")
+    write_jsonl(rows.filter(F.col("attempt") == 1), path, run="first")
+    return spark.read.schema("listing_id long, attempt int, raw_output string, run string").json(path)
+
+
+@query
+def published_results(spark, d):
+    """Rows of both tables as published: the second run is the current one."""
+    root, tagged = f"{scratch(spark)}/published", _tagged(spark, d)
+    with Workspace(spark) as work:
+        clean, errors = va.split(work.freeze(tagged, "tagged"))
+        publish_results(clean.filter("id % 2 = 0"), errors.limit(0), root)
+        publish_results(clean, errors, root)
+    tables = read_published(spark, root)
+    rows = [df.select("id", "raw_description", F.lit(name).alias("table_name")) for name, df in tables.items()]
+    return rows[0].unionByName(rows[1])
+
+
 @query
 def detect_columns(spark, d):
     df = table(spark, d, "customer").select(
@@ -394,6 +420,21 @@ def apply_extractor(spark, d):
     return rs.apply_extractor(rs.build_prompts(raw, SHORT_TEMPLATE), echo_extractor, partitions=8, waits=())
 
 
+@query
+def extractor_ledger(spark, d):
+    """Attempts of two jobs with one ledger: the second asks for the listings with odd ids only."""
+    raw = view(spark, d, "listings").select(F.col("listing_id").alias("id"), F.concat("listing_id", F.lit(" "), "raw_description").alias("raw_description"))
+    prompts, ledger = rs.build_prompts(raw, SHORT_TEMPLATE), Ledger(f"{scratch(spark)}/ledger", commit_rows=500)
+    rs.apply_extractor(prompts.filter("id % 2 = 0"), echo_extractor, partitions=8, waits=(), ledger=ledger, in_flight=4)
+
+    def odd_only(row):
+        if row.id % 2 == 0:
+            raise AssertionError("asked twice")
+        return echo_extractor(row)
+
+    return rs.apply_extractor(prompts, odd_only, partitions=8, waits=(), ledger=ledger, in_flight=4)
+
+
 def _answered(spark, d):
     """Every listing with its reply."""
     raw = view(spark, d, "listings").select(F.col("listing_id").alias("id"), "raw_description")
