@@ -379,6 +379,13 @@ add("listing_files_clean", f"{_echo_job} SELECT * FROM clean")
 add("run_summary", f"{TAGGED} {SUMMARY}")
 add("avg_confidence", f"{CLEAN} SELECT round(coalesce(avg(confidence), 0), 6) AS avg_confidence FROM clean")
 add("published_results", f"""{TAGGED} SELECT id, raw_description, CASE WHEN error_type IS NULL THEN 'clean' ELSE 'errors' END AS table_name FROM tagged""")
+add("growing_quantiles", """SELECT o_orderpriority, count(*) AS total, CAST(0 AS BIGINT) AS missing, CAST(min(o_totalprice) AS DOUBLE) AS low,
+ CAST(max(o_totalprice) AS DOUBLE) AS high, true AS within FROM orders GROUP BY 1""")
+add("growing_duplicates", """WITH o AS (SELECT year(o_orderdate) AS y, o_custkey AS c FROM orders), firsts AS (SELECT c, min(y) AS f FROM o GROUP BY 1),
+ years AS (SELECT CAST(range AS BIGINT) AS y FROM range(1995, 2002))
+ SELECT CAST(y AS VARCHAR) AS batch, (SELECT count(DISTINCT c) FROM o WHERE o.y = years.y) AS distinct_values,
+ (SELECT count(*) FROM firsts WHERE f = years.y) AS unseen FROM years
+ UNION ALL SELECT 'all', count(DISTINCT c), count(*) - count(DISTINCT c) FROM o""")
 add("category_counts", f"{CLEAN} SELECT category, count(*) AS count FROM clean GROUP BY 1")
 add("segment_counts", "SELECT c_mktsegment, count(*) AS count FROM customer GROUP BY 1")
 add("availability_counts", f"{CLEAN} SELECT availability, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS percent FROM clean GROUP BY 1")

@@ -20,6 +20,7 @@ from tidyshelf.operators import dedup as de
 from tidyshelf.operators import distribution as di
 from tidyshelf.operators import ordering as od
 from tidyshelf.operators import responses as rs
+from tidyshelf.operators import sketches as sk
 from tidyshelf.operators import summary as su
 from tidyshelf.operators import validation as va
 from tidyshelf.operators.asking import Ledger
@@ -806,6 +807,38 @@ def median_price(spark, d):
     return di.median(_clean(spark, d), "price")
 
 
+@query
+def growing_quantiles(spark, d):
+    """States of one batch of orders per year, stored and merged: exact ends, and whether each quartile's rank is as stated."""
+    orders = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    path, by = f"{scratch(spark)}/states", ["o_orderpriority"]
+    for year in range(1995, 2002):
+        sk.store_batch(sk.quantile_states(orders.filter(F.col("year") == year), "o_totalprice", by), path, str(year))
+    merged = sk.merged_quantiles(sk.stored_states(spark, path), by)
+    found = sk.quantiles_of(merged, [0.25, 0.5, 0.75], by)
+    ranks = orders.join(F.broadcast(found), by).groupBy(*by, "p").agg(
+        F.avg((F.col("o_totalprice") < F.col("quantile")).cast("int")).alias("below"), F.avg((F.col("o_totalprice") <= F.col("quantile")).cast("int")).alias("upto"))
+    error = 2 * sk.rank_error()
+    kept = ranks.groupBy(*by).agg(F.bool_and((F.col("below") - error <= F.col("p")) & (F.col("p") <= F.col("upto") + error)).alias("within"))
+    return merged.join(kept, by).select(*by, "total", "missing", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), "within")
+
+
+@query
+def growing_duplicates(spark, d):
+    """Customers per year of orders, stored as states: repeated ones over all years, and those new in each year."""
+    orders = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_custkey").cast("string").alias("customer"))
+    path, out = f"{scratch(spark)}/states", None
+    for year in range(1995, 2002):
+        sk.store_batch(sk.distinct_states(orders.filter(F.col("year") == year), "customer", lg=20), path, str(year))
+    stored = sk.stored_states(spark, path)
+    for year in range(1995, 2002):
+        own, old = (sk.merged_distinct(stored.filter(c), lg=20) for c in (F.col("batch") == str(year), F.col("batch") < str(year)))
+        row = sk.unseen_of(own, old).select(F.lit(str(year)).alias("batch"), F.col("distinct").alias("distinct_values"), "unseen")
+        out = row if out is None else out.unionByName(row)
+    whole = sk.duplicates_of(sk.merged_distinct(stored, lg=20)).select(F.lit("all").alias("batch"), F.col("distinct").alias("distinct_values"), F.col("duplicates").alias("unseen"))
+    return out.unionByName(whole)
+
+
 @query
 def median_lines(spark, d):
     return di.median(table(spark, d, "lineitem"), "l_extendedprice").withColumn("median", F.round("median", 4))
