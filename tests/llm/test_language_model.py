@@ -3,13 +3,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import SF
 from tests.llm.conftest import ODD_TEXTS
 from tidyshelf.llm import language_model
 from tidyshelf.llm.common import Hashes, table
-from tidyshelf.llm.language_model import _discounts, score_held_out, score_texts, total_mass, train
+from tidyshelf.llm.language_model import _add_words, _discounts, _pack_words, score_held_out, score_texts, spread, total_mass, train
 from tidyshelf.storage import Workspace
 
 
@@ -98,3 +99,12 @@ def test_mass_is_one(spark):
         counts = model.bigrams_of(first, keys >> np.uint64(24))
         assert abs(total_mass(model, known[at, 2:], known[:, 1], counts) - 1) < 1e-9
     assert score_texts(texts, model, "text").count() == 3
+
+
+def test_counts_beyond_32_bits():
+    """Packs and shards carry counts that no 32 bits hold."""
+    keys, counts = np.array([3, 9, 12], np.uint64), np.array([[2**33 + 5], [1], [2**31]], np.int64)
+    packed = pa.Table.from_batches([_pack_words("uni", keys, counts, 1)] * 3)
+    added = _add_words(packed)
+    assert added["tokens"].to_pylist() == [3 * int(counts.sum())]
+    assert spread(added["values"][0].as_py(), np.uint64).tolist() == [3 * int(c) for c in counts[:, 0]]

@@ -96,7 +96,7 @@ def _pack_words(kind: str, keys: np.ndarray, values: np.ndarray, shards: int) ->
     order = np.lexsort((keys, shard))
     keys, values, rows = keys[order], values[order], []
     for s, a, b in _by_shard(shard[order], shards):
-        rows.append((s, kind, squeeze(_steps(keys[a:b])), squeeze(values[a:b].astype(np.uint32).ravel())))
+        rows.append((s, kind, squeeze(_steps(keys[a:b])), squeeze(values[a:b].astype(np.uint64).ravel())))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _PACKED, strict=True)], schema=_PACKED)
 
 
@@ -123,11 +123,11 @@ def _add_words(table: pa.Table) -> pa.Table:
     """One row per shard of words: its distinct words with counts, and totals."""
     rows = table.select(["shard", "keys", "values"]).to_pylist()
     keys, values = _merge([np.cumsum(spread(r["keys"], np.uint64), dtype=np.uint64) for r in rows],
-                          [spread(r["values"], np.uint32)[:, None] for r in rows])
+                          [spread(r["values"], np.uint64)[:, None] for r in rows])
     top = np.argsort(values[:, 0])[-64:]  # a shard has few words with over 1/64 of its tokens
     return pa.table({
         "shard": pa.array([rows[0]["shard"]], pa.int32()), "kind": ["uni"], "keys": pa.array([squeeze(_steps(keys))], pa.binary()),
-        "values": pa.array([squeeze(values.astype(np.uint32).ravel())], pa.binary()), "tokens": [int(values.sum())], "distinct": [len(keys)],
+        "values": pa.array([squeeze(values.astype(np.uint64).ravel())], pa.binary()), "tokens": [int(values.sum())], "distinct": [len(keys)],
         "top": [keys[top].view(np.int64).tolist()], "top_counts": [values[top, 0].tolist()],
     })
 
@@ -214,7 +214,7 @@ def _finish_words(folder: str):
         for kind, width in (("uni", 1), ("cont", 1), ("ctx", 4)):
             own = [r for r in rows if r["kind"] == kind]
             keys = [np.cumsum(spread(r["keys"], np.uint64), dtype=np.uint64) for r in own] or [np.empty(0, np.uint64)]
-            held[kind] = _merge(keys, [spread(r["values"], np.uint32).reshape(-1, width) for r in own] or [np.empty((0, width))])
+            held[kind] = _merge(keys, [spread(r["values"], np.uint64).reshape(-1, width) for r in own] or [np.empty((0, width))])
         keys = held["uni"][0]
         start = np.array([START], np.uint64)
         if len(held["ctx"][0]) and (held["ctx"][0] == (start[0] >> _SHORT)).any():  # a context that is no word
@@ -226,7 +226,7 @@ def _finish_words(folder: str):
             if len(k):
                 place = np.minimum(np.searchsorted(k, keys >> _SHORT), len(k) - 1)
                 values[:, at : at + v.shape[1]] = np.where((k[place] == keys >> _SHORT)[:, None], v[place], 0)
-        _store(folder, f"words-{rows[0]['shard']}", key=keys, value=values.astype(np.uint32))
+        _store(folder, f"words-{rows[0]['shard']}", key=keys, value=values.astype(np.uint64))
         follows = held["cont"][1][:, 0]
         return pa.table({"sizes": pa.array([[int((follows == k).sum()) for k in (1, 2, 3, 4)] + [int(follows.sum())]], pa.list_(pa.int64()))})
 
