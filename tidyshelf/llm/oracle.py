@@ -17,7 +17,7 @@ lines AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')
     (length(line) - length(replace(line, '!!', '')) + length(line) - length(replace(line, '??', ''))) / 2 AS marks FROM own),
 good AS (SELECT doc_id, sum(n) AS n FROM lines
     WHERE NOT ((n >= 3 AND (100 * bars > 30 * n OR 100 * symbols > 50 * n OR 100 * marks > 50 * n OR (line = upper(line) AND line <> lower(line))))
-      OR regexp_matches(lower(line), 'all rights reserved|terms of use|terms of service|privacy policy|cookie policy|accept cookies|click here|read more|sign up|log in|subscribe now|share this|follow us|lorem ipsum|javascript is disabled|skip to content|back to top'))
+      OR n <= 12 AND regexp_matches(lower(line), 'all rights reserved|terms of use|terms of service|privacy policy|cookie policy|accept cookies|click here|read more|sign up|log in|subscribe now|share this|follow us|lorem ipsum|javascript is disabled|skip to content|back to top'))
     GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -57,4 +57,25 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS B
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE = {"op5_quality_rules": OP5, "op6_warc": OP6, "op8_decontaminate": OP8}
+
+def _linked_sets(size: int, percent: int, kept: str = "") -> str:
+    """Components of documents by the similarity of their shingle sets; all pairs that share a shingle are counted."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {size - 1}], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id{kept}
+FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
+
+
+OP10 = _linked_sets(3, 90)
+OP12 = _linked_sets(4, 80, ", d.doc_id = c.component_id AS kept")
+
+ORACLE = {"op5_quality_rules": OP5, "op6_warc": OP6, "op8_decontaminate": OP8, "op10_ngram_join": OP10, "op12_minmax_dedup": OP12}
