@@ -11,7 +11,7 @@ from tests.llm.conftest import ODD_TEXTS
 from tidyshelf.llm.common import table
 from tidyshelf.llm.packing import best_fit, pack_documents
 from tidyshelf.llm.token_counts import count_tokens, cut
-from tidyshelf.llm.tokens import PieceCache
+from tidyshelf.llm.tokens import TAME, PieceCache, Units, load_json
 from tests.conftest import SF
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -52,6 +52,28 @@ def test_cache_starts_anew():
         assert cache.get(text.split()) == text.upper().split()
 
 
+def same_ids(units, texts):
+    flat, sizes = units(texts)
+    library = Tokenizer.from_file(WORDS)
+    ends = np.cumsum(sizes).tolist()
+    return [flat[a:b].tolist() for a, b in zip([0, *ends], ends)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_units_of_every_tame_character():
+    """Each character between letters, digits, symbols and blanks, as the library sees it."""
+    units = Units(load_json(WORDS))
+    assert units.fits and same_ids(units, [f"a{c}b {c} 1{c}2 .{c}. {c}{c}'s" for c in map(chr, range(1, ord(TAME) + 40))])
+    assert not Units(load_json(BYTES)).fits
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab'sStTvVE1²½.,!- \n\t\x1c\xa0éÉİßǅ\u0301漢<|endoftext|>"), max_size=30), max_size=5))
+def test_units_equal_the_library(texts):
+    units = getattr(test_units_equal_the_library, "units", None) or Units(load_json(WORDS), room=40)
+    test_units_equal_the_library.units = units
+    assert same_ids(units, texts) and len(units.numbers) <= max(40, sum(map(len, texts)))
+
+
 def test_best_fit_takes_the_tightest_window():
     numbers, offsets = best_fit([6, 5, 4, 3, 2], 10)
     assert numbers == [0, 1, 0, 1, 1] and offsets == [0, 0, 6, 5, 8]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyshelf.llm.common import id_and_text, texts_in
-from tidyshelf.llm.tokens import PieceCache, encode_ids, load_json
+from tidyshelf.llm.tokens import load_units
 from tidyshelf.storage import Workspace
 
 WINDOW = 4096
@@ -77,26 +77,22 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[
 
 def _cut(path: str, end_id: int, window: int, keep_ids: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_json(path)
-        encode = lambda pieces: [np.array(i, "<u4").tobytes() for i in encode_ids(tokenizer, pieces)]
-        cache, end = PieceCache(encode), np.array([end_id], "<u4").tobytes()
-        for ids, texts in texts_in(batches, 4 << 20):
-            at, start, length, crc, total, body = [], [], [], [], [], []
-            for i, text in enumerate(texts):
-                # blank and line feed are white space to every pattern of the library, so no token spans them
-                pieces = [p for p in text.replace("\n", " ").split(" ") if p]
-                stream = b"".join(cache.get(pieces)) + end
-                n = len(stream) // 4
-                for s in range(0, n, window):
-                    part = stream[4 * s : 4 * (s + window)]
-                    at.append(i), start.append(s), length.append(len(part) // 4), total.append(n)
-                    crc.append(zlib.crc32(part))
-                    if keep_ids:
-                        body.append(np.frombuffer(part, "<u4"))
-            columns = [ids.take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+        units = load_units(path)
+        for ids, texts in texts_in(batches, 2 << 20):
+            tokens, sizes = units(texts)
+            stream = np.insert(tokens.astype("<u4"), np.cumsum(sizes), end_id)
+            total = sizes + 1
+            begin = np.cumsum(total) - total
+            pieces = -(-total // window)
+            owner = np.repeat(np.arange(len(texts)), pieces)
+            start = (np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]) * window
+            length = np.minimum(window, total[owner] - start)
+            low = begin[owner] + start
+            parts = [stream[a:b] for a, b in zip(low.tolist(), (low + length).tolist(), strict=True)]
+            columns = [ids.take(pa.array(owner)), *map(pa.array, (start, length)), pa.array(map(zlib.crc32, parts), pa.int64()), pa.array(total[owner])]
             names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
             if keep_ids:
-                columns, names = [*columns, pa.array([b.astype(np.int32) for b in body], pa.list_(pa.int32()))], [*names, "ids"]
+                columns, names = [*columns, pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return task

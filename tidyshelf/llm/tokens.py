@@ -1,9 +1,15 @@
-"""Token ids of whole texts through a cache of space-delimited pieces."""
+"""Token ids of whole texts through caches of their pieces."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 from functools import lru_cache
+from itertools import chain
+
+import numpy as np
 
 #: Distinct pieces that one worker keeps before it starts anew.
 CACHE_ROOM = 400_000
@@ -52,3 +58,98 @@ class PieceCache:
             for i in rest:
                 out[i] = kept[pieces[i]]
         return out
+
+
+#: Units that one worker keeps, and those whose ids are asked for in one text.
+UNIT_ROOM, UNITS_TOGETHER = 300_000, 256
+#: What ``Units`` relies on (fixed values: the normalizer and pattern of the tokenizers it serves).
+UNIT_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+UNIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _unit_pattern() -> re.Pattern:
+    """``UNIT_PATTERN`` for characters below ``TAME``, whose classes are spelled out."""
+    kinds: dict[str, str] = {"L": "", "N": "", "space": "\t\n\x0b\x0c\r \x85\xa0"}
+    for c in map(chr, range(ord(TAME))):
+        if (kind := unicodedata.category(c)[0]) in kinds:
+            kinds[kind] += c
+    letters, numbers, spaces = (re.escape(x) for x in kinds.values())
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+
+
+class Units:
+    """Ids of texts from those of their units: words, digits and runs of symbols, which such a tokenizer encodes apart.
+
+    A worker meets few distinct units: each is numbered by a dictionary, new ones are encoded together, and the
+    ids of a piece of texts are gathered by array operations. Every unit ends in one id that ends a word, which tells
+    the units of one answer apart. Characters from ``TAME`` on and special tokens send a text to the library whole.
+    """
+
+    def __init__(self, tokenizer, room: int = UNIT_ROOM):
+        self.tokenizer, self.room = tokenizer, room
+        made = json.loads(tokenizer.to_str())
+        splits = [p for p in (made["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        self.fits = (made["model"].get("end_of_word_suffix") == "</w>" and (made["normalizer"] or {}).get("normalizers") == UNIT_NORMALIZERS
+                     and [p["pattern"] for p in splits] == [{"Regex": UNIT_PATTERN}])
+        self.units, self.wild = _unit_pattern(), re.compile(f"[{TAME}-\U0010ffff]")
+        self.special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._empty()
+
+    def _empty(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.flat, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units in order, and how many each has."""
+        groups = [units[i : i + UNITS_TOGETHER] for i in range(0, len(units), UNITS_TOGETHER)]
+        flat = [np.array(ids, np.uint32) for ids in encode_ids(self.tokenizer, [" ".join(g) for g in groups])]
+        for i, group in enumerate(groups):
+            if self.ends[flat[i]].sum() != len(group):
+                raise ValueError("a unit is not encoded apart")
+        ids = np.concatenate(flat)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def _learn(self, units: list[str]) -> None:
+        ids, size = self._encoded(units)
+        self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(size) - size))
+        self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, ids))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each text has."""
+        lowered = [t.lower() for t in texts]
+        whole = [i for i, (t, low) in enumerate(zip(texts, lowered, strict=True))
+                 if not self.fits or (not low.isascii() and self.wild.search(low)) or self.special.search(t)]
+        found = [self.units.findall(low) for low in lowered]
+        for i in whole:
+            found[i] = []
+        numbers = self.numbers
+        fresh = [u for u in set(chain.from_iterable(found)) if u not in numbers]
+        if fresh:
+            if len(numbers) + len(fresh) > self.room:  # those of this piece stay
+                self._empty()
+                numbers, fresh = self.numbers, list(set(chain.from_iterable(found)))
+            numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh)), strict=True))
+            self._learn(fresh)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
+        size = self.size[at]
+        end = np.cumsum(size)
+        ids = self.flat[np.repeat(self.first[at] - (end - size), size) + np.arange(len(size) and end[-1])]
+        bounds = np.concatenate(([0], end))[np.concatenate(([0], np.cumsum(counts)))]
+        sizes = np.diff(bounds)
+        if whole:
+            parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            for i, own in zip(whole, encode_ids(self.tokenizer, [texts[i] for i in whole]), strict=True):
+                parts[i] = np.array(own, np.uint32)
+                sizes[i] = len(own)
+            ids = np.concatenate(parts)
+        return ids, sizes
+
+
+@lru_cache(maxsize=2)
+def load_units(path: str) -> Units:
+    """The units that a worker keeps for a tokenizer's file."""
+    return Units(load_json(path))
