@@ -1,9 +1,12 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_decontaminate import plain as plain_hits
 from tests.llm.test_ngram_join import plain_components
 from tests.llm.test_suffix_dedup import plain as plain_repeats
 from tidyshelf.llm.common import table
+from tidyshelf.llm.decontaminate import clean_documents
 from tidyshelf.llm.toxicity import score_toxicity
 
 
@@ -42,3 +45,15 @@ def test_null_and_repeated_ids(spark, odd):
             out = stage(spark, docs, SF)
             assert name == "packing" or out.columns == rows.columns
             out.count()
+
+
+def test_columns_of_any_name(spark):
+    """Columns under the names that a stage uses itself come through as they were."""
+    rows = table(spark, SF, "documents").limit(60)
+    names = ["text_to_score", "TEXT_TO_SCORE_", "place", "row_number", "n_words", "hit_spans", "__text", "__place", "__row", "id", "score", "node", "n"]
+    odd = rows.select("*", *[(F.col("doc_id") * 7).alias(n) for n in names])
+    benchmark = table(spark, SF, "benchmark")
+    outs = [stage(spark, odd, SF) for _, stage in corpus_pipeline.STAGES[:-1]] + [clean_documents(odd, benchmark, block_words=2000)]
+    for out in outs:
+        assert out.columns == odd.columns
+        assert all(r[n] == 7 * r["doc_id"] for r in out.collect() for n in names)

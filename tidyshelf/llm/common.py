@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tidyshelf.storage import Workspace
 
+#: Bytes of an Arrow batch on its way to or from a worker.
+_BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 #: One uint64 multiplier and the two of a 64-bit finalizer; any odd constants do.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -22,8 +26,14 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let workers import this package by name, once per application, also where it is not installed."""
+    """Let workers import this package by name, once per application, also where it is not installed.
+
+    Batches between Spark and its workers are bounded in bytes, unless the application says how: texts differ in
+    length by far more than a bound on rows could bear.
+    """
     context = spark.sparkContext
+    if not context.getConf().contains(_BATCH_KEY):
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     if not getattr(context, "_tidyshelf_shipped", False):
         folder = Path(tempfile.mkdtemp(prefix="tidyshelf-ship-"))  # read by the driver alone, which serves the file
         root = Path(__file__).resolve().parent.parent
@@ -39,6 +49,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str) -> Column:
     """The text, an empty one for null."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
@@ -74,6 +95,19 @@ def texts_in(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterato
                 start, size = i + 1, 0
         if start < len(texts):
             yield ids.slice(start), texts.slice(start).to_pylist()
+    give_back()
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that hands free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Hand memory that a task no longer uses back to the system: the worker lives on for other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import id_and_text, texts_in
+from tidyshelf.llm.common import id_and_text, texts_in, unused
 from tidyshelf.storage import Workspace
 
 WINDOW = 13
@@ -266,6 +266,7 @@ def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Texts without words and nulls stay; so do all rows of an empty benchmark.
     """
     names = list(df.columns)
+    row, n_words, hit = unused(df, "row_number", "n_words", "hit_spans")
     blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
     automaton = Automaton(blocks[0], window) if len(blocks) == 1 else None
     shared = df.sparkSession.sparkContext.broadcast(automaton)
@@ -276,7 +277,7 @@ def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
         for batch in batches:
             texts, at = batch.column(text_col).to_pylist(), batch.schema.get_field_index(text_col)
             if reader is None:
-                found = zip(batch.column("__n").to_pylist(), batch.column("__spans").to_pylist(), strict=True)
+                found = zip(batch.column(n_words).to_pylist(), batch.column(hit).to_pylist(), strict=True)
             else:
                 words = map(words_of, texts)
                 found = ((len(w), [x for s in covered(reader.read(w)[0]) for x in s]) for w in words)
@@ -285,8 +286,8 @@ def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     if automaton is None:
         store = workspace or Workspace(df.sparkSession)
-        rows = store.freeze(rows.withColumn("__row", F.monotonically_increasing_id()), "documents")
-        found = find_hits(rows, benchmark, "__row", text_col, item_col, item_text_col, block_words, window, workspace=store)
-        rows = rows.join(found.select(F.col("id").alias("__row"), F.col("n_words").alias("__n"), F.col("spans").alias("__spans")), "__row")
+        rows = store.freeze(rows.withColumn(row, F.monotonically_increasing_id()), "documents")
+        found = find_hits(rows, benchmark, row, text_col, item_col, item_text_col, block_words, window, workspace=store)
+        rows = rows.join(found.select(F.col("id").alias(row), F.col("n_words").alias(n_words), F.col("spans").alias(hit)), row)
     kinds = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in df.schema)
     return rows.mapInArrow(task, kinds)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import chain, mix, text_of
+from tidyshelf.llm.common import chain, give_back, mix, text_of
 from tidyshelf.llm.packs import answers_by_part, pack, unpack
 from tidyshelf.storage import Workspace
 
@@ -44,7 +44,9 @@ REACH = 150
 PACK_BYTES = 2 << 20
 SHARD_ENTRIES = 2_000_000
 #: Bytes of context that one task compares.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+#: Bytes after which prefix sums begin anew (a power of two).
+STRIDE = 1 << 16
 #: Ends of matches and examples of one core that may meet in one task.
 HOT_ENDS = 8_192
 #: Windows whose bytes are laid out and compared at once.
@@ -60,30 +62,36 @@ def _bytes_table() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-_powers: list[np.ndarray] = []
-
-
+@lru_cache(maxsize=4)
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64, kept by the worker."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.full(size, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-        for powers in _powers:
-            powers[0] = 1
-            np.cumprod(powers, out=powers)
-    return _powers[0][:n], _powers[1][:n]
+    """The first n powers of the base and of its inverse modulo 2**64."""
+    both = [np.full(n, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    for powers in both:
+        powers[0] = 1
+        np.cumprod(powers, out=powers)
+    return both[0], both[1]
 
 
 class Rolling:
-    """Hashes of any stretches of a buffer from prefix sums."""
+    """Hashes of any stretches of up to ``longest`` bytes from prefix sums.
+
+    Sums begin anew every ``STRIDE`` bytes and reach ``longest`` bytes beyond, so the table of powers stays short.
+    """
 
-    def __init__(self, buffer: np.ndarray):
-        power, self.inverse = _power(len(buffer) + 1)
-        self.sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(_bytes_table()[buffer] * power[:-1], out=self.sums[1:])
+    def __init__(self, buffer: np.ndarray, longest: int):
+        self.width = STRIDE + longest + 1
+        power, self.inverse = _power(self.width)
+        blocks = len(buffer) // STRIDE + 1
+        self.sums = np.zeros((blocks, self.width), np.uint64)
+        for k in range(blocks):
+            piece = buffer[k * STRIDE : k * STRIDE + self.width - 1]
+            np.cumsum(_bytes_table()[piece] * power[: len(piece)], out=self.sums[k, 1 : len(piece) + 1])
+        self.sums = self.sums.ravel()
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        block, place = np.divmod(start, STRIDE)
+        at = block * self.width + place
+        return mix((self.sums[at + (end - start)] - self.sums[at]) * self.inverse[place])
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +108,7 @@ class Parse:
     def __init__(self, buffer: np.ndarray, starts: np.ndarray, shards: int, length: int = LENGTH):
         reach, self.length = min(REACH, length * 3 // 4), length
         trigger = min(TRIGGER, length - reach)
-        rolling = Rolling(buffer)
+        rolling = Rolling(buffer, length + reach)
         size = len(buffer)
         at = np.arange(max(0, size - trigger + 1))
         chosen = np.flatnonzero(rolling.of(at, at + trigger) < np.uint64((1 << 64) // RARITY))
@@ -155,6 +163,7 @@ def _send_entries(column: str, shards: int, length: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(held, pa.int32()), pa.array([part] * len(held), pa.int64()), pa.array(cores, pa.binary()),
                     pa.array(entries, pa.binary())], ["shard", "part", "cores", "entries"])
+        give_back()
 
     return task
 
@@ -239,7 +248,7 @@ def _ends(buffer: np.ndarray, parse: Parse, states: np.ndarray, shards: int, blo
     places, owner = _ranges(parse.low[parse.first[hot]], parse.high[parse.first[hot]])
     piece = np.zeros(0, np.int64)
     if len(hot):  # single windows, each distinct one once
-        number = Rolling(buffer).of(places, places + length)
+        number = Rolling(buffer, length).of(places, places + length)
         lead, piece, times = np.unique(_first_equal(buffer, places, number, length, block), return_inverse=True, return_counts=True)
         sure = np.bincount(piece, states[hot][owner] == _HOT_EXAMPLE) > 0
         low, high, known = np.concatenate((low, places[lead])), np.concatenate((high, places[lead])), np.concatenate((known, sure | (times > 1)))
@@ -276,6 +285,7 @@ def _send_ends(column: str, shards: int, end_shards: int, length: int, block: in
                 yield pa.RecordBatch.from_arrays([
                     pa.array(held, pa.int32()), pa.array([part] * len(held), pa.int64()), pa.array(bodies, pa.binary()),
                     pa.array(sizes, pa.binary())], ["shard", "part", "bodies", "sizes"])
+        give_back()
 
     return task
 
@@ -290,7 +300,7 @@ def _answer_ends(length: int, block: int):
         weight, windows = 1 + (size & 1), size >> 1
         begin = np.concatenate(([0], np.cumsum(windows + length - 1)))[:-1]
         at, owner = _ranges(begin, begin + windows - 1)
-        _, inverse = np.unique(Rolling(buffer).of(at, at + length), return_inverse=True)
+        _, inverse = np.unique(Rolling(buffer, length).of(at, at + length), return_inverse=True)
         likely = np.flatnonzero(np.bincount(inverse, weight[owner])[inverse] > 1)
         repeated = np.zeros(len(at), bool)
         first = _first_equal(buffer, at[likely], inverse[likely], length, block)
@@ -343,6 +353,7 @@ def _finish(column: str, shards: int, end_shards: int, length: int, block: int,
                                 pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
                     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+        give_back()
 
     return task
 

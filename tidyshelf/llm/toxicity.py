@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import crc_of, id_and_text, text_of, texts_in
+from tidyshelf.llm.common import crc_of, give_back, id_and_text, text_of, texts_in, unused
 
 #: Rows of each label that the fit may read.
 MAX_LABELLED = 6_000
@@ -260,19 +260,15 @@ def _logistic(rows, weights_of: dict[int, float]) -> list[float]:
     return b.tolist()
 
 
-def _score(shared):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        lexicon, grammar, curve = Lexicon(model.words, model.stems), Grammar(), model.curve
-        for batch in batches:
-            scores = []
-            for _, texts in texts_in([batch]):
-                for text in texts:
-                    z = curve[0] + sum(b * x for b, x in zip(curve[1:], features(text, lexicon, grammar), strict=True))
-                    scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+def _scorer(model: Model):
+    """A function from texts to their scores, with one cache of words for all calls."""
+    lexicon, grammar, curve = Lexicon(model.words, model.stems), Grammar(), model.curve
+
+    def score(text: str) -> float:
+        z = curve[0] + sum(b * x for b, x in zip(curve[1:], features(text, lexicon, grammar), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    return task
+    return score
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -286,33 +282,34 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     shared = df.sparkSession.sparkContext.broadcast(model or fit(df, labels, id_col, text_col, label_col, limit, held_mod))
     source = id_and_text(df, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
-    scored = source.mapInArrow(_score_without_text(_score(shared)), f"id {kind}, score double")
-    held = F.coalesce(F.pmod(crc_of("id"), F.lit(held_mod)) == 0, F.lit(False))
-    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
 
-def _score_without_text(task):
-    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in task(batches):
-            yield batch.select([0, batch.num_columns - 1])
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(shared.value)
+        for ids, texts in texts_in(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(map(score, texts), pa.float64())], ["id", "score"])
 
-    return slim
+    scored = source.mapInArrow(task, f"id {kind}, score double")
+    held = F.coalesce(F.pmod(crc_of("id"), F.lit(held_mod)) == 0, F.lit(False))
+    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows that are not predicted toxic, with all their columns."""
+    """The rows that are not predicted toxic, with all their columns, whatever their names.
+
+    Null and empty texts match nothing and stay; repeated rows and ids share their text's verdict; an empty table
+    gives an empty one.
+    """
     model = options.pop("model", None) or fit(df, labels, id_col, text_col, **options)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    name = "__toxicity"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    source = df.withColumn("__text", text_of(text_col))
+    [text] = unused(df, "text_to_score")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _score(shared)
+        score = _scorer(shared.value)
         for batch in batches:
-            small = pa.RecordBatch.from_arrays([batch.column("__text"), batch.column("__text")], ["id", "text"])
-            scores = next(scorer(iter([small]))).column("score")
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["__text"]).columns, scores], [*df_names, name])
+            at = batch.num_columns - 1
+            clean = [score(t) < 0.5 for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_())).select(list(range(at)))
+        give_back()
 
-    df_names = list(df.columns)
-    return source.mapInArrow(task, f"{kinds}, {name} double").filter(F.col(name) < 0.5).drop(name)
+    return df.withColumn(text, text_of(text_col)).mapInArrow(task, kinds)
