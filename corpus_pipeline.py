@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import ship_package, table
+from tidyshelf.llm.common import ship_package, table, unused
 from tidyshelf.llm.decontaminate import clean_documents
 from tidyshelf.llm.ngram_join import jaccard_components
 from tidyshelf.llm.packing import pack_documents
@@ -27,7 +27,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     named = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
     # an id that stands in several rows stays with one of them; the join's partitions serve the window too
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rows = docs.join(named, "doc_id", "left_semi").withColumn("__place", place).filter("__place = 1")
+    [first] = unused(docs, "place")
+    rows = docs.join(named, "doc_id", "left_semi").withColumn(first, place).filter(F.col(first) == 1)
     # a row without an id cannot be named by its group; it stays
     return rows.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
