@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidyshelf.llm.common import Hashes, chain, id_and_text, mix, texts_in
@@ -116,63 +116,49 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
     return np.concatenate(out) if out else np.empty(0, np.uint64), np.concatenate(owners) if owners else np.empty(0, np.int64)
 
 
-def _members(size: int):
+def _unpack(body: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(body).decode()
+
+
+def _signed(sets: dict[int, np.ndarray], shards: int, percent: int, squeeze: zstandard.ZstdCompressor) -> dict[str, pa.Array]:
+    """One row per shard: sorted signatures, and for each the place of its node in a list."""
+    nodes = np.array(list(sets), np.int64)
+    sig, owner = signatures(list(sets.values()), percent)
+    shard = (sig % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((sig, shard))
+    sig, owner, shard = sig[order], owner[order], shard[order]
+    rows = {"shard": [], "sigs": [], "places": [], "nodes": []}
+    cuts = np.searchsorted(shard, np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        a, b = cuts[s], cuts[s + 1]
+        held, place = np.unique(owner[a:b], return_inverse=True)
+        steps = np.diff(sig[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
+        rows["shard"].append(int(s))
+        rows["sigs"].append(squeeze.compress(steps.tobytes()))
+        rows["places"].append(squeeze.compress(place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()))
+        rows["nodes"].append(nodes[held].tobytes())
+    return {c: pa.array(v, pa.int32() if c == "shard" else pa.binary()) for c, v in rows.items()}
+
+
+def _members(size: int, percent: int, shards: int):
+    """Rows of two kinds from one pass over the texts: members, and below a shard the signatures of a part's sets."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, squeeze = Hashes(), zstandard.ZstdCompressor(level=1)
-        for ids, texts in texts_in(batches):
-            n, node, body = [], [], []
+        for ids, texts in texts_in(batches, PART_BYTES):
+            n, node, body, sets = [], [], [], {}
             for text in texts:
                 own = shingles(text, hashes, size)
                 n.append(len(own))
                 node.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None)
                 body.append(squeeze.compress(text.encode()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(body, pa.binary())], ["id", "n", "node", "body"])
-
-    return task
-
-
-def _unpack(body: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(body).decode()
-
-
-def _signed(shards: int, size: int, percent: int):
-    """Per part and shard one row: sorted signatures, and for each the place of its node in a list."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, squeeze = Hashes(), zstandard.ZstdCompressor(level=1)
-
-        def part(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
-            nodes = np.array(list(sets), np.int64)
-            sig, owner = signatures(list(sets.values()), percent)
-            shard = (sig % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((sig, shard))
-            sig, owner, shard = sig[order], owner[order], shard[order]
-            rows = {"shard": [], "sigs": [], "places": [], "nodes": []}
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[s], cuts[s + 1]
-                held, place = np.unique(owner[a:b], return_inverse=True)
-                steps = np.diff(sig[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
-                rows["shard"].append(int(s))
-                rows["sigs"].append(squeeze.compress(steps.tobytes()))
-                rows["places"].append(squeeze.compress(place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()))
-                rows["nodes"].append(nodes[held].tobytes())
-            kinds = {"shard": pa.int32(), "sigs": pa.binary(), "places": pa.binary(), "nodes": pa.binary()}
-            return pa.RecordBatch.from_arrays([pa.array(rows[c], k) for c, k in kinds.items()], list(kinds))
-
-        sets: dict[int, np.ndarray] = {}
-        held = 0
-        for batch in batches:
-            for node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if node not in sets:  # a part's equal sets are signed once
-                    text = _unpack(body)
-                    sets[node] = shingles(text, hashes, size)
-                    held += len(text)
-                    if held >= PART_BYTES:
-                        yield part(sets)
-                        sets, held = {}, 0
-        if sets:
-            yield part(sets)
+                if len(own):  # a part's equal sets are signed once
+                    sets[node[-1]] = own
+            members = {"id": ids, "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "body": pa.array(body, pa.binary())}
+            signed = _signed(sets, shards, percent, squeeze)
+            kinds = {c: v.type for c, v in (members | signed).items()}
+            for rows in (members, signed):
+                count = len(next(iter(rows.values())))
+                yield pa.RecordBatch.from_arrays([rows.get(c, pa.nulls(count, k)) for c, k in kinds.items()], list(kinds))
 
     return task
 
@@ -232,12 +218,16 @@ def least_shared(differences: int, size: int, leader: int, percent: int = PERCEN
     return max(1, (differences * high + (leader - size) * low) // (2 * high) + 1)
 
 
+#: Columns of ``differences``.
+DIFFERENCES = "leader long, node long, linked boolean, needed long, size long, apart long, element long"
+
+
 def differences(size: int, percent: int):
-    """Of each node and its leader: whether they link, and every shingle that only one of them has."""
+    """Of each node and its leader: whether they link, the node's size, and every shingle that only one of them has."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, kept = Hashes(), {}
         for batch in batches:
-            rows = {"leader": [], "node": [], "linked": [], "needed": [], "element": []}
+            rows = {c.split()[0]: [] for c in DIFFERENCES.split(", ")}
             for leader, node, p, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if leader not in kept:
                     if len(kept) >= 64:
@@ -251,13 +241,26 @@ def differences(size: int, percent: int):
                 rows["linked"].append(np.full(n, n * (100 + percent) <= (len(lead) + len(own)) * (100 - percent)))
                 # so many of the rarest differences must hold one that is shared
                 rows["needed"].append(np.full(n, n - least_shared(n, len(own), len(lead), percent) + 1))
+                rows["size"].append(np.full(n, len(own)))
+                rows["apart"].append(np.full(n, n))
                 rows["element"].append(apart.view(np.int64))
-            kinds = {"leader": pa.int64(), "node": pa.int64(), "linked": pa.bool_(), "needed": pa.int64(), "element": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows[c]) if rows[c] else [], k) for c, k in kinds.items()], list(kinds))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(v) if v else [], pa.bool_() if c == "linked" else pa.int64()) for c, v in rows.items()], list(rows))
 
     return task
 
 
+def may_link(percent: int) -> Column:
+    """What linked sets of (size, apart) and (other_size, other_apart) fulfil, by their distances to one leader.
+
+    They differ in at most (size + other_size) * (100 - percent) / (100 + percent) elements, and so do their
+    sizes and their distances to any third set.
+    """
+    most = (F.col("size") + F.col("other_size")) * (100 - percent)
+    return (F.abs(F.col("size") - F.col("other_size")) * (100 + percent) <= most) & (
+        F.abs(F.col("apart") - F.col("other_apart")) * (100 + percent) <= most)
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
                        percent: int = PERCENT, workspace: Workspace | None = None, keep: bool = False) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links).
@@ -270,14 +273,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     store = workspace or Workspace(spark)
     source = id_and_text(df, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
+    # a set of n shingles has about n * 4 * (100 - percent) / (100 + percent) signatures; a word takes some six bytes
+    total = (source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6 * 4.3 * (100 - percent) / (100 + percent)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // SHARD_ENTRIES) + 1)
     # the row's number decides which of a node's rows lends its text
-    members = store.freeze(source.mapInArrow(_members(size), f"id {kind}, n long, node long, body binary").withColumn(
-        "row", F.monotonically_increasing_id()), "members")
+    scanned = store.freeze(source.mapInArrow(
+        _members(size, percent, shards), f"id {kind}, n long, node long, body binary, shard int, sigs binary, places binary, nodes binary").withColumn(
+        "row", F.monotonically_increasing_id()), "scanned")
+    members = scanned.filter("shard IS NULL").select("id", "n", "node", "body", "row")
     filled = members.filter("node IS NOT NULL")
-    # a set of n shingles has about n * 4 * (100 - percent) / (100 + percent) signatures
-    total = (filled.agg(F.sum("n")).first()[0] or 0) * 4.3 * (100 - percent) / (100 + percent)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // SHARD_ENTRIES) + 1)
-    signed = filled.select("node", "body").mapInArrow(_signed(shards, size, percent), "shard int, sigs binary, places binary, nodes binary")
+    signed = scanned.filter("shard IS NOT NULL").select("shard", "sigs", "places", "nodes")
     buckets = store.freeze(signed.repartition(shards, "shard").groupBy("shard").applyInArrow(_buckets, "sig long, node long, size long"), "buckets")
 
     weights = store.freeze(buckets.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
@@ -296,8 +301,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = store.freeze(links(pairs), "links")
     groups = connected(found, store)
 
-    def placed(rows: DataFrame) -> DataFrame:
-        return rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def placed(rows: DataFrame, node: str = "node") -> DataFrame:
+        return rows.join(groups.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
 
     # buckets of three or more nodes that lie in two or more components have pairs that were not tried
     still = placed(buckets.filter("size > 2")).groupBy("sig").agg(
@@ -305,13 +310,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parted = buckets.join(still, "sig", "left_semi").join(led, "sig").filter("node <> leader").select("leader", "node").distinct()
     both = parted.join(bodies.select(F.col("node").alias("leader"), F.col("body").alias("p")), "leader").join(
         bodies.select("node", F.col("body").alias("q")), "node").select("leader", "node", "p", "q")
-    apart = store.freeze(both.mapInArrow(differences(size, percent), "leader long, node long, linked boolean, needed long, element long"), "apart")
+    apart = store.freeze(both.mapInArrow(differences(size, percent), DIFFERENCES), "apart")
     rarity = apart.groupBy("leader", "element").agg(F.count("*").alias("times"))
+    within = may_link(percent)
     rarest = F.row_number().over(Window.partitionBy("leader", "node").orderBy("times", "element"))
     sought = placed(apart.join(rarity.filter("times > 1"), ["leader", "element"], "left").withColumn("times", F.coalesce("times", F.lit(1))).withColumn(
-        "rank", rarest).filter("rank <= needed AND times > 1").select("leader", "element", "node")).withColumnRenamed("component", "c")
-    offered = placed(apart.filter("NOT linked").select("leader", "element", "node")).withColumnRenamed("node", "other")
-    meeting = sought.join(offered, ["leader", "element"]).filter("c <> component").select(
+        "rank", rarest).filter("rank <= needed AND times > 1").select("leader", "element", "node", "size", "apart")).withColumnRenamed("component", "c")
+    offered = placed(apart.filter("NOT linked").select("leader", "element", F.col("node").alias("other"), "size", "apart"), "other")
+    offered = offered.withColumnsRenamed({"size": "other_size", "apart": "other_apart"})
+    meeting = sought.join(offered, ["leader", "element"]).filter("c <> component").filter(within).select(
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     more = store.freeze(links(meeting), "links")
     if not more.isEmpty():
