@@ -4,11 +4,12 @@ A document is the set of its word shingles. Each of ``PERMUTATIONS`` permutation
 shingle, and both its minimum and its maximum are kept: twice as many values from as many evaluations. Two
 sets agree in each value with the probability of their Jaccard similarity; minimum and maximum of one permutation
 cannot both be missed for the same shingle, so their sum varies less than that of two minima. Values of one kind form
-bands of ``BAND_ROWS``; sets with an equal band share a bucket. At a similarity of 0.8 two sets share
-none of the ``2 * PERMUTATIONS / BAND_ROWS`` buckets once in two million times; above, much more rarely.
+bands of ``BAND_ROWS``, once side by side and once strided, so that two bands have one value in common at most; sets
+with an equal band share a bucket. At a similarity of 0.8 two sets share none of the ``4 * PERMUTATIONS / BAND_ROWS``
+buckets twice in a million times; above, much more rarely. At 0.3 they share one in 200 times.
 
-Links are confirmed on the full sets. Not all pairs of a bucket are tried: its smallest node leads, others are
-compared with it, links merge into components. Where a bucket still has several, a link between two of its sets
+Links are confirmed on the full sets. Not all pairs of a bucket are tried: the node that shares most buckets leads,
+others are compared with it, links merge into components. Where a bucket still has several, a link between two of its sets
 shows in their differences from the leader, see ``ngram_join.least_shared``; only sets that meet under one of their
 rarest differences are compared. So a group of n copies costs about n comparisons, and no pair of a bucket is left out.
 
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 
 from tidyshelf.llm.common import Hashes, chain, id_and_text, mix, texts_in
 from tidyshelf.llm.components import connected
-from tidyshelf.llm.ngram_join import differences, linked_pairs, shingles
+from tidyshelf.llm.ngram_join import DIFFERENCES, differences, linked_pairs, may_link, shingles
 from tidyshelf.storage import Workspace
 
 SHINGLE = 4
 #: Two sets link if PERCENT of their union is shared.
 PERCENT = 80
-PERMUTATIONS, BAND_ROWS = 144, 6
+PERMUTATIONS, BAND_ROWS = 144, 8
 #: Bytes of texts whose sets are hashed together.
 PIECE_BYTES = 2 << 20
 
@@ -57,12 +58,13 @@ def min_max(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> tuple[n
 
 
 def bands(sets: list[np.ndarray], permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> np.ndarray:
-    """One 64-bit key per set and band; bands hold minima or maxima of ``rows`` permutations."""
-    keys = []
+    """One 64-bit key per set and band; bands hold minima or maxima of ``rows`` permutations (a divisor)."""
+    keys, count = [], permutations // rows
     for kind, values in enumerate(min_max(sets, permutations)):
-        for at in range(0, permutations, rows):
-            parts = [np.ascontiguousarray(values[:, i]).astype(np.uint64) for i in range(at, at + rows)]
-            keys.append(chain(np.full(len(sets), 2 * at + kind, np.uint64), *parts))
+        columns = [np.ascontiguousarray(values[:, i]).astype(np.uint64) for i in range(permutations)]
+        for at in range(count):
+            for way, own in enumerate((columns[at * rows : (at + 1) * rows], columns[at::count])):
+                keys.append(chain(np.full(len(sets), 4 * at + 2 * kind + way, np.uint64), *own))
     return np.stack(keys, 1)
 
 
@@ -99,8 +101,9 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _placed(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _placed(rows: DataFrame, groups: DataFrame, node: str = "node", component: str = "component") -> DataFrame:
+    found = groups.select(F.col("node").alias(node), F.col("component").alias(component))
+    return rows.join(found, node, "left").withColumn(component, F.coalesce(component, node))
 
 
 def _untried(buckets: DataFrame, groups: DataFrame, bodies: DataFrame, size: int, percent: int, store: Workspace) -> DataFrame:
@@ -109,16 +112,15 @@ def _untried(buckets: DataFrame, groups: DataFrame, bodies: DataFrame, size: int
     parted = buckets.join(spread.select("band"), "band", "left_semi").filter("node <> leader").select("leader", "node").distinct()
     both = parted.join(bodies.select(F.col("node").alias("leader"), F.col("body").alias("p")), "leader").join(
         bodies.select("node", F.col("body").alias("q")), "node").select("leader", "node", "p", "q")
-    apart = store.freeze(both.mapInArrow(
-        differences(size, percent), "leader long, node long, linked boolean, needed long, element long"), "apart")
+    apart = store.freeze(both.mapInArrow(differences(size, percent), DIFFERENCES), "apart")
     rarity = apart.groupBy("leader", "element").agg(F.count("*").alias("times")).filter("times > 1")
     rank = F.row_number().over(Window.partitionBy("leader", "node").orderBy("times", "element"))
     sought = apart.join(rarity, ["leader", "element"], "left").withColumn("times", F.coalesce("times", F.lit(1))).withColumn(
-        "rank", rank).filter("rank <= needed AND times > 1").select("leader", "element", "node")
-    offered = apart.filter("NOT linked").select("leader", "element", "node")
-    return _placed(sought, groups).withColumnRenamed("component", "c").join(
-        _placed(offered, groups).withColumnRenamed("node", "other"), ["leader", "element"]).filter("c <> component").select(
-        *_ordered("node", "other")).distinct()
+        "rank", rank).filter("rank <= needed AND times > 1").select("leader", "element", "node", "size", "apart")
+    offered = apart.filter("NOT linked").select(
+        "leader", "element", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("apart").alias("other_apart"))
+    meeting = _placed(sought, groups).join(_placed(offered, groups, "other", "other_component"), ["leader", "element"])
+    return meeting.filter("component <> other_component").filter(may_link(percent)).select(*_ordered("node", "other")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT,
@@ -138,11 +140,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = nodes.select(F.col("node").alias("row"))
     keys = members.select("row", "bands").join(chosen, "row", "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("band"))
     keys = store.freeze(keys, "keys")
-    led = keys.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    buckets = store.freeze(keys.join(led, "band"), "buckets")
+    shared = keys.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    sized = store.freeze(keys.join(shared, "band"), "sized")
+    weights = sized.groupBy("node").agg(F.sum("size").alias("weight"))
+    central = F.min(F.struct((-F.col("weight")).alias("less"), "node"))["node"]
+    led = sized.join(weights, "node").groupBy("band").agg(central.alias("leader"))
+    buckets = store.freeze(sized.join(led, "band").select("band", "node", "leader"), "buckets")
     bodies = store.freeze(members.select(F.col("row").alias("node"), "body").join(buckets.select("node").distinct(), "node", "left_semi"), "bodies")
 
-    pairs = buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = buckets.filter("node <> leader").select(*_ordered("node", "leader")).distinct()
     found = store.freeze(_links(pairs, bodies, size, percent), "links")
     groups = connected(found, store)
     more = store.freeze(_links(_untried(buckets, groups, bodies, size, percent, store), bodies, size, percent), "links")
