@@ -11,7 +11,7 @@ from tests.llm.conftest import ODD_TEXTS
 from tidyshelf.llm.common import table
 from tidyshelf.llm.packing import best_fit, pack_documents
 from tidyshelf.llm.token_counts import count_tokens, cut
-from tidyshelf.llm.tokens import TAME, PieceCache, Units, load_json
+from tidyshelf.llm.tokens import TAME, PieceLengths, Units, load_json
 from tests.conftest import SF
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -47,9 +47,17 @@ def test_pieces_are_independent(text):
 
 
 def test_cache_starts_anew():
-    cache = PieceCache(lambda pieces: [p.upper() for p in pieces], {"a": "A"}, room=3)
-    for text in ("a b c", "b d a", "b e f g h", "c b a h"):
-        assert cache.get(text.split()) == text.upper().split()
+    asked = []
+
+    def measure(pieces):
+        asked.extend(pieces)
+        return list(map(len, pieces))
+
+    lengths = PieceLengths(measure, {"aa": 2}, room=3)
+    for texts in (["aa bbb c", ""], ["c dddd aa"], ["bbb e ff g hhhhh", "aa"], ["c bbb aa hhhhh"]):
+        lists = [t.split() for t in texts]
+        assert lengths.sums(lists).tolist() == [sum(map(len, x)) for x in lists]
+    assert "aa" not in asked and asked.count("c") == 2
 
 
 def same_ids(units, texts):

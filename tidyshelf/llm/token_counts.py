@@ -15,18 +15,21 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyshelf.llm.common import batch_of, id_and_text, texts_in
-from tidyshelf.llm.tokens import TAME, PieceCache, encode_ids, load_json
+from tidyshelf.llm.tokens import TAME, PieceLengths, encode_ids, load_json
 
 TABLE_SIZE = 16_384
 #: Pieces that one task proposes for the table.
 PER_TASK = 4_096
 MAX_PIECE = 32
+#: Leading pieces that a worker keeps.
+HEAD_ROOM = 100_000
 
 
 def cut(text: str, special: tuple[str, ...]) -> list[str] | None:
@@ -69,24 +72,27 @@ def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", size: int
     return {p: len(ids) for p, ids in zip(pieces, encode_ids(tokenizer, [f" {p}" for p in pieces]), strict=True)}
 
 
+@lru_cache(maxsize=2)
+def _lengths(path: str, table: tuple[tuple[str, int], ...]) -> tuple[PieceLengths, PieceLengths]:
+    """What a worker keeps for a tokenizer's file and table: counts of pieces behind a space, and of those that lead a text."""
+    tokenizer = load_json(path)
+    measure = lambda texts: [len(ids) for ids in encode_ids(tokenizer, texts)]
+    return PieceLengths(lambda pieces: measure([f" {p}" for p in pieces]), dict(table)), PieceLengths(measure, room=HEAD_ROOM)
+
+
 def _count(path: str, table):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_json(path)
         special = _special(tokenizer)
-        lengths = lambda texts: [len(ids) for ids in encode_ids(tokenizer, texts)]
-        later = PieceCache(lambda pieces: lengths([f" {p}" for p in pieces]), table.value)
-        first = PieceCache(lengths)
-        for ids, texts in texts_in(batches):
-            counts, cuts = [0] * len(texts), [cut(t, special) for t in texts]
-            heads = [(i, c[0]) for i, c in enumerate(cuts) if c]
-            for (i, _), n in zip(heads, first.get([h for _, h in heads]), strict=True):
-                counts[i] = n + sum(later.get(cuts[i][1:]))
-            for i, (text, c) in enumerate(zip(texts, cuts, strict=True)):
-                if c is None and text:
-                    counts[i] = lengths([text])[0]
+        later, first = _lengths(path, table.value)
+        for ids, texts in texts_in(batches, 2 << 20):
+            cuts = [cut(t, special) for t in texts]
+            counts = first.sums([c[:1] if c else [] for c in cuts]) + later.sums([c[1:] if c else [] for c in cuts])
+            whole = [i for i, (t, c) in enumerate(zip(texts, cuts, strict=True)) if t and c is None]
+            for i, own in zip(whole, encode_ids(tokenizer, [texts[i] for i in whole]), strict=True):
+                counts[i] = len(own)
             n_bytes = [len(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n_bytes, pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n_bytes, pa.int64()), pa.array(counts)], ["id", "n_bytes", "n_tokens"])
 
     return task
 
@@ -100,7 +106,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
     source = id_and_text(df, id_col, text_col)
     lengths = frequent_lengths(df, path, text_col, table_size)
-    shared = df.sparkSession.sparkContext.broadcast(lengths)
+    shared = df.sparkSession.sparkContext.broadcast(tuple(sorted(lengths.items())))
     kind = source.schema["id"].dataType.simpleString()
     counted = source.mapInArrow(_count(path, shared), f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens",

@@ -34,30 +34,38 @@ def encode_ids(tokenizer, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-class PieceCache:
-    """A bounded worker cache from a piece to what ``encode`` makes of it."""
-
-    def __init__(self, encode, first: dict | None = None, room: int = CACHE_ROOM):
-        self.encode, self.room = encode, room
-        self.first, self.kept = first or {}, {}
-
-    def get(self, pieces: list[str]) -> list:
-        """Values in the order of the pieces: the fixed table first, then the cache, then ``encode``."""
-        first, kept = self.first, self.kept
-        out = [first.get(p) for p in pieces] if first else [None] * len(pieces)
-        rest = [i for i, v in enumerate(out) if v is None]
-        if rest:
-            missing = list({p for p in (pieces[i] for i in rest) if p not in kept})
-            if missing:
-                if len(kept) + len(missing) > self.room:
-                    kept.clear()
-                    missing = list({pieces[i] for i in rest})
-                for at in range(0, len(missing), 4096):
-                    block = missing[at : at + 4096]
-                    kept.update(zip(block, self.encode(block), strict=True))
-            for i in rest:
-                out[i] = kept[pieces[i]]
-        return out
+class PieceLengths:
+    """Token counts of pieces in two tiers: a fixed table, then a bounded cache of what ``measure`` said of others.
+
+    Pieces are numbered by one dictionary, and their counts gathered by array operations. A full cache starts
+    anew with the table and the pieces at hand.
+    """
+
+    def __init__(self, measure, table: dict[str, int] | None = None, room: int = CACHE_ROOM):
+        self.measure, self.table, self.room = measure, table or {}, room
+        self._empty()
+
+    def _empty(self) -> None:
+        self.numbers = dict(zip(self.table, range(len(self.table)), strict=True))
+        self.size = np.fromiter(self.table.values(), np.int64, len(self.table))
+
+    def sums(self, lists: list[list[str]]) -> np.ndarray:
+        """The counts of each list's pieces, added up."""
+        numbers = self.numbers
+        fresh = [p for p in set(chain.from_iterable(lists)) if p not in numbers]
+        if fresh and len(numbers) + len(fresh) > self.room + len(self.table):
+            self._empty()
+            numbers = self.numbers
+            fresh = [p for p in set(chain.from_iterable(lists)) if p not in numbers]
+        if fresh:
+            new = [n for at in range(0, len(fresh), 4096) for n in self.measure(fresh[at : at + 4096])]
+            numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh)), strict=True))
+            self.size = np.concatenate((self.size, np.array(new, np.int64)))
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        total = np.concatenate(([0], np.cumsum(self.size[at])))
+        ends = np.cumsum(counts)
+        return total[ends] - total[ends - counts]
 
 
 #: Units that one worker keeps, and those whose ids are asked for in one text.
