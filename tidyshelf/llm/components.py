@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidyshelf.storage import Workspace
@@ -23,12 +23,15 @@ def connected(edges: DataFrame, workspace: Workspace) -> DataFrame:
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = workspace.freeze(now, "edges"), None
     while True:
-        large = _star(_both_ways(now)).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        downward = large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        large = _star(_both_ways(now)).filter("b > a AND b <> m")
+        downward = large.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))  # repeated arcs go with the next step's
         small = _star(downward)
         after = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        now = workspace.freeze(after.filter("a <> b").distinct(), "star")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        # the arcs' number and the sum of their hashes are taken while they are written
+        seen = Observation("arcs")
+        total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        now = workspace.freeze(after.filter("a <> b").distinct().observe(seen, F.count("*").alias("n"), total.alias("s")), "star")
+        state = seen.get
         if state == before:
             break
         before = state
