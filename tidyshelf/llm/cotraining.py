@@ -74,7 +74,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, lang, source = (rows.column(c).to_pylist() for c in ("n_chars", "lang", "source"))
             a = [text_view(t.encode(), hashes).astype(np.float32).tobytes() for t in texts]
             b = [metadata_view(*m).astype(np.float32).tobytes() for m in zip(n, lang, source, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, rows.column("role"), rows.column("y"), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["id", "role", "y", "a", "b"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["id", "a", "b"])
     give_back()
 
 
@@ -187,10 +187,11 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         F.min(F.when(F.col(f"`{label_col}`").isin(0, 1), F.col(f"`{label_col}`"))).cast("double").alias("y"), F.lit(True).alias("listed"))
     apart = F.pmod(F.xxhash64("id"), F.lit(APART)) == 0
     role = F.when(F.col("listed").isNull(), POOL).when(held | F.col("y").isNull(), NONE).when(apart, CALIBRATE).otherwise(FIT)
-    marked = rows.join(known, "id", "left").select(
-        "id", "text", "n_chars", "lang", "source", role.cast("int").alias("role"), F.coalesce("y", F.lit(0.0)).alias("y"))
     kind = rows.schema["id"].dataType.simpleString()
-    views = store.freeze(marked.mapInArrow(_measure, f"id {kind}, role int, y double, a binary, b binary"), "views")
+    # only the views meet the labels: the texts are not shuffled
+    measured = rows.mapInArrow(_measure, f"id {kind}, a binary, b binary")
+    views = store.freeze(measured.join(known, "id", "left").select(
+        "id", role.cast("int").alias("role"), F.coalesce("y", F.lit(0.0)).alias("y"), "a", "b"), "views")
 
     kinds = {r["y"] for r in views.filter(F.col("role") == FIT).select("y").distinct().collect()}
     model = None
