@@ -2,14 +2,18 @@
 
 import html
 import re
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidyshelf import lexicon as lx
 from tidyshelf.functions import text as tx
+from tidyshelf.functions.html_text import unescape_strip_compose
+from tidyshelf.storage import prepare_session
 
 #: Own texts with what cleaning makes of them.
 CLEANED = {
@@ -56,6 +60,36 @@ def test_steps_match_python(each):
     assert each(tx.has_text, MESSY) == [bool(t.strip()) for t in MESSY]
 
 
+def test_a_batch_is_worked_on_in_pieces():
+    """A batch of 40 MB takes a few MB of Python strings; nulls, empty and long texts keep their places."""
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else "cafe\u0301 &amp; <b>x</b> " * (40_000 if i == 500 else 1000) for i in range(2500)]
+    batch = pa.array(texts), pa.array(["html+nfc"] * len(texts))
+    tracemalloc.start()
+    made = []
+    for piece in unescape_strip_compose.func(iter([batch, (batch[0].slice(0, 0), batch[1].slice(0, 0))])):
+        made += [t if t is None else (len(t), t[:12]) for t in piece.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch[0].nbytes > 40e6 and peak < 12e6
+    again = [t if t is None else unicodedata.normalize("NFC", re.sub("<[^>]+>", " ", html.unescape(t))) for t in texts]
+    assert made == [t if t is None else (len(t), t[:12]) for t in again]
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    """10,000 rows are no bound: texts differ in length. What the application sets stays."""
+    @F.arrow_udf("long")
+    def held(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    def largest(session):
+        return session.range(0, 4000, 1, 1).select(held(F.repeat(F.lit("e\u0301 "), 2000)).alias("n")).agg(F.max("n")).first()[0]
+
+    session = prepare_session(spark.newSession())
+    assert largest(session) < 5e6
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    assert largest(prepare_session(session)) < 1.5e6
+
+
 def test_settled_characters_need_no_composer():
     """Over all code points: what the pattern lets pass is composed and never joins with what stands before it."""
     settled = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)).replace("\\", "\\\\").replace("]", "\\]"), tx._SETTLED) + "]")
