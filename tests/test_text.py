@@ -10,10 +10,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from checks.queries import QUERIES
 from tidyshelf import lexicon as lx
 from tidyshelf.functions import text as tx
 from tidyshelf.functions.html_text import unescape_strip_compose
-from tidyshelf.storage import prepare_session
+from tidyshelf.storage import BATCH_BYTES, BATCH_KEY, prepare_session
 
 #: Own texts with what cleaning makes of them.
 CLEANED = {
@@ -62,7 +63,7 @@ def test_steps_match_python(each):
 
 def test_a_batch_is_worked_on_in_pieces():
     """A batch of 40 MB takes a few MB of Python strings; nulls, empty and long texts keep their places."""
-    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else "cafe\u0301 &amp; <b>x</b> " * (40_000 if i == 500 else 1000) for i in range(2500)]
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else "&amp; <b>x</b>" + "cafe\u0301 " * (100_000 if i == 500 else 3500) for i in range(2500)]
     batch = pa.array(texts), pa.array(["html+nfc"] * len(texts))
     tracemalloc.start()
     made = []
@@ -90,6 +91,15 @@ def test_batches_for_python_are_bounded_in_bytes(spark):
     assert largest(prepare_session(session)) < 1.5e6
 
 
+def test_nfc_query_bounds_its_batches(spark, tmp_path):
+    rows = [(1, "e\u0301 " * 90_000, 3), (2, None, 3), (3, "", 3), (4, "e\u0301", None)]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING, n_chars BIGINT").write.parquet(str(tmp_path / "documents.parquet"))
+    session = spark.newSession()
+    got = {r["doc_id"]: r["composed"] for r in QUERIES["nfc"](session, str(tmp_path)).collect()}
+    assert session.conf.get(BATCH_KEY) == BATCH_BYTES
+    assert got[2] is None and got[1].startswith("é é ") and len(got[1]) == 180_000 + len(got[3]) and "é" in got[4]
+
+
 def test_settled_characters_need_no_composer():
     """Over all code points: what the pattern lets pass is composed and never joins with what stands before it."""
     settled = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)).replace("\\", "\\\\").replace("]", "\\]"), tx._SETTLED) + "]")
