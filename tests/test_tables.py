@@ -80,6 +80,26 @@ def test_writers(spark, tmp_path):
     assert len(lines) == 2 and "ü" in lines[0]
 
 
+def test_large_csv_is_read_by_many_tasks(spark, tmp_path):
+    """One writing task makes several files, as records over lines keep a file in one reading task."""
+    rows = spark.range(0, 70_000, 1, 1).select("id", F.format_string('line "%d",\nnext', "id").alias("raw_description"))
+    for name, write in (("e.csv", write_errors), ("c.csv", write_clean)):
+        write(rows, str(tmp_path / name))
+        back = read_listings(spark, str(tmp_path / name))
+        sizes = back.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) >= 4 and max(r["count"] for r in sizes) <= 20_000
+        got = [(r["id"], r["raw_description"]) for r in back.orderBy("src_ord").select("id", "raw_description").collect()]
+        assert got == [(str(i), f'line "{i}",\nnext') for i in range(70_000)]
+
+
+def test_order_beyond_a_thousand_files_of_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidyshelf.sources.writers.FILE_ROWS", 1)
+    write_errors(spark.range(0, 1020, 1, 1), str(tmp_path / "e.csv"))
+    assert len(list((tmp_path / "e.csv").glob("part-*"))) == 1020
+    back = read_listings(spark, str(tmp_path / "e.csv"))
+    assert [r["id"] for r in back.orderBy("src_ord").collect()] == [str(i) for i in range(1020)]
+
+
 def test_export_counts(spark, tmp_path):
     clean = spark.range(3).withColumn("brand", F.lit("b"))
     result = export_results(clean, spark.range(1), str(tmp_path / "c"), str(tmp_path / "e"))

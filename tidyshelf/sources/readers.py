@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidyshelf.operators.columns import fill_missing
 
 ORDER = "src_ord"
+#: A file of Spark's writers: which of its task's files it is stands behind ``-c``, in three digits or more.
+_PART = r"(?<=/part-\d{5,9}-[0-9a-f-]{36}-c)(\d{3,6})(?=[.][^/]*$)"
 
 
 def _csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
@@ -73,7 +75,8 @@ def read_listings(
     """A file or folder as a table of strings plus ``src_ord``; missing values are empty texts.
 
     The format comes from the suffix (``.csv``, ``.json``, ``.jsonl``) unless ``fmt`` names it.
-    ``src_ord`` is (file, offset of the split, row), so it follows the file however it is split. CSV
+    ``src_ord`` is (file, offset of the split, row), so it follows the file however it is split, and the
+    files of one writing task follow each other by number, also beyond the thousandth. CSV
     records may span lines; ``multiline=False`` lets Spark split large CSV files that have none
     such. Columns of JSON come in the order of the first record of the first file by path, then by
     name; ``columns`` names them instead and saves the pass that looks for them. JSON nulls are empty texts, not the words ``None`` or ``nan`` (deviation).
@@ -91,8 +94,10 @@ def read_listings(
     names = [c for c in (columns or df.columns) if c != "_corrupt_record"]
     if not names:
         raise ValueError(f"no usable data in {path}")
+    file = F.col("_metadata.file_path")
     order = F.struct(
-        F.col("_metadata.file_path").alias("file"),
+        F.regexp_replace(file, _PART, "").alias("file"),
+        F.regexp_extract(file, _PART, 1).try_cast("int").alias("part"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )

@@ -14,6 +14,8 @@ from tidyshelf.schemas import CLEAN_SCHEMA, ERROR_SCHEMA
 from tidyshelf.sources.publish import Files, publish, replace_tables
 
 BOM = "﻿"
+#: Rows of a CSV file at most. Records may span lines, so whoever reads a file reads it in one task.
+FILE_ROWS = 20_000
 
 
 def _writer(df: DataFrame, schema: T.StructType, fmt: str, bom: bool) -> Callable[[str], None]:
@@ -29,12 +31,15 @@ def _writer(df: DataFrame, schema: T.StructType, fmt: str, bom: bool) -> Callabl
         named.write.option("header", True).option("encoding", "UTF-8")
         .option("quote", '"').option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv
+        .option("maxRecordsPerFile", FILE_ROWS).csv
     )
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "csv", bom: bool = True) -> None:
-    """The 13 clean columns. CSV has a header, UTF-8 with a byte order mark. ``path`` is replaced once all is written."""
+    """The 13 clean columns. CSV has a header, UTF-8 with a byte order mark. ``path`` is replaced once all is written.
+
+    A task writes its rows in order, to as many CSV files as :data:`FILE_ROWS` makes of them.
+    """
     replace_tables(df.sparkSession, {path: _writer(df, CLEAN_SCHEMA, fmt, bom)})
 
 
