@@ -82,6 +82,30 @@ def test_units_equal_the_library(texts):
     assert same_ids(units, texts) and len(units.numbers) <= max(40, sum(map(len, texts)))
 
 
+class Reader:
+    """A pattern that notes how many characters it reads."""
+
+    def __init__(self, pattern):
+        self.pattern, self.read = pattern, 0
+
+    def findall(self, text):
+        self.read += len(text)
+        return self.pattern.findall(text)
+
+
+def test_repeated_stretches_are_cut_into_units_once():
+    """Between blanks a piece of texts has few distinct stretches; units are sought in these alone, not in every text."""
+    texts = ["Some words, it's so:\tcome 12 times.\n" * 400, "", " Words, it's\xa0so 400 ", "\u6f22 some"] * 3
+    units = Units(load_json(WORDS))
+    units.units = reader = Reader(units.units)
+    assert same_ids(units, texts) and same_ids(units, [""]) and 0 < reader.read < 300
+
+
+def test_units_bear_no_texts():
+    ids, sizes = Units(load_json(WORDS))([])
+    assert len(ids) == len(sizes) == 0
+
+
 def test_best_fit_takes_the_tightest_window():
     numbers, offsets = best_fit([6, 5, 4, 3, 2], 10)
     assert numbers == [0, 1, 0, 1, 1] and offsets == [0, 0, 6, 5, 8]
