@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -126,3 +127,22 @@ def test_odd_texts(spark, odd, empty):
     assert clean.columns == odd.columns and clean.count() == len(ODD_TEXTS)
     assert remove_repeats(empty).count() == 0
     assert sorted(len(r["text"]) for r in clean.collect())[-1] < 200
+
+
+@pytest.mark.parametrize("size", [0, 10, 16, suffix_dedup.STRIDE - 1, suffix_dedup.STRIDE, suffix_dedup.STRIDE + 15, 2 * suffix_dedup.STRIDE + 100])
+def test_triggers_found_by_strides_are_those_of_single_hashes(size):
+    buffer = np.random.default_rng(size).integers(0, 4, size, dtype=np.uint8)
+    rolling, n = suffix_dedup.Rolling(buffer, 350), size - 16 + 1
+    at = np.arange(max(0, n))
+    assert rolling.starts_below(1 << 60, 16, n).tolist() == np.flatnonzero(rolling.of(at, at + 16) < np.uint64(1 << 60)).tolist()
+
+
+def test_a_pack_takes_little_memory_beside_its_prefix_sums():
+    """Sums are 8 bytes for each of the buffer; triggers are sought without further arrays of that length."""
+    buffer = np.random.default_rng(1).integers(0, 256, suffix_dedup.PACK_BYTES, dtype=np.uint8)
+    suffix_dedup.Parse(buffer[:1000], np.array([0, 1000]), 4)
+    tracemalloc.start()
+    suffix_dedup.Parse(buffer, np.array([0, len(buffer) // 2, len(buffer)]), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(buffer)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import Hashes, chain, id_and_text, mix, texts_in
+from tidyshelf.llm.common import Hashes, chain, give_back, id_and_text, mix, texts_in
 from tidyshelf.llm.components import connected
 from tidyshelf.storage import Workspace
 
@@ -159,6 +159,8 @@ def _members(size: int, percent: int, shards: int):
             for rows in (members, signed):
                 count = len(next(iter(rows.values())))
                 yield pa.RecordBatch.from_arrays([rows.get(c, pa.nulls(count, k)) for c, k in kinds.items()], list(kinds))
+        hashes.clear()
+        give_back()
 
     return task
 

@@ -88,6 +88,16 @@ class Rolling:
             np.cumsum(_bytes_table()[piece] * power[: len(piece)], out=self.sums[k, 1 : len(piece) + 1])
         self.sums = self.sums.ravel()
 
+    def starts_below(self, limit: int, length: int, size: int) -> np.ndarray:
+        """The starts below ``size`` of stretches of ``length`` bytes with hashes below a limit, one stride at a time."""
+        found = []
+        for k, sums in enumerate(self.sums.reshape(-1, self.width)):
+            n = min(STRIDE, size - k * STRIDE)
+            if n > 0:
+                hashes = mix((sums[length : length + n] - sums[:n]) * self.inverse[:n])
+                found.append(k * STRIDE + np.flatnonzero(hashes < np.uint64(limit)))
+        return np.concatenate(found) if found else np.empty(0, np.int64)
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         block, place = np.divmod(start, STRIDE)
         at = block * self.width + place
@@ -110,8 +120,7 @@ class Parse:
         trigger = min(TRIGGER, length - reach)
         rolling = Rolling(buffer, length + reach)
         size = len(buffer)
-        at = np.arange(max(0, size - trigger + 1))
-        chosen = np.flatnonzero(rolling.of(at, at + trigger) < np.uint64((1 << 64) // RARITY))
+        chosen = rolling.starts_below((1 << 64) // RARITY, trigger, size - trigger + 1)
         doc = np.searchsorted(starts, chosen, side="right") - 1
         begin, end = starts[:-1], starts[1:]
         inside = chosen + trigger <= end[doc]
@@ -317,7 +326,7 @@ def _answer_ends(length: int, block: int):
 
 def _finish(column: str, shards: int, end_shards: int, length: int, block: int, names: list[str], with_text: bool, with_digest: bool):
     def covered(buffer: np.ndarray, parse: Parse, states: np.ndarray, masks: list[bytes]) -> np.ndarray:
-        steps = np.zeros(len(buffer) + 1, np.int64)
+        steps = np.zeros(len(buffer) + 1, np.int32)
         whole = np.flatnonzero(np.isin(states, (_REPEATED, _EXAMPLE, _HOT_EXAMPLE))[parse.inverse])
         np.add.at(steps, parse.low[whole], 1)
         np.add.at(steps, parse.high[whole] + length, -1)
@@ -329,7 +338,7 @@ def _finish(column: str, shards: int, end_shards: int, length: int, block: int,
             hit = ends.place[bits[ends.window] == 1]
             np.add.at(steps, hit, 1)
             np.add.at(steps, hit + length, -1)
-        return np.cumsum(steps[:-1]) > 0
+        return np.cumsum(steps[:-1], out=steps[:-1]) > 0
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
